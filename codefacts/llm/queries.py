@@ -5,8 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import mixing, quality, simhash
-from codefacts.llm.common import BLANK, table
+from codefacts.llm import chat, mixing, pieces, quality, simhash
+from codefacts.llm.common import table
+
+#: The conversation that op3 adds: control strings inside texts.
+ADDED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def model_file() -> str:
+    """The public SentencePiece model; another path may be passed to the operator."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +26,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kept.doc_id", *[f"m.{c}" for c in names], "base_failed", F.col("kept_by_rules").alias("kept"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.chats(turns.unionByName(spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string")))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -24,5 +39,12 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_simhash, op5_mixing)}
-ORACLES = {"op5_mixing": mixing.oracle()}
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encoded(table(spark, sf_dir, "documents"), model_file(), ids=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_simhash, op5_mixing, op9_pieces)}
+ORACLES = {
+    "op3_chat": chat.oracle("VALUES " + ", ".join(str(r) for r in ADDED)),
+    "op5_mixing": mixing.oracle(),
+}
