@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import chat, mixing, pieces, quality, simhash
+from codefacts.llm import chat, mixing, pieces, quality, secrets, simhash
 from codefacts.llm.common import table
 
 #: The conversation that op3 adds: control strings inside texts.
@@ -39,11 +39,16 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secrets(table(spark, sf_dir, "documents"), F.col("doc_id").cast("long"))
+    return found.select(F.col("kept").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", secrets.spelled().alias("spans"))
+
+
 def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), model_file(), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_simhash, op5_mixing, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_simhash, op5_mixing, op8_secrets, op9_pieces)}
 ORACLES = {
     "op3_chat": chat.oracle("VALUES " + ", ".join(str(r) for r in ADDED)),
     "op5_mixing": mixing.oracle(),
