@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import chat, mixing, pieces, quality, secrets, simhash
+from codefacts.llm import chat, mixing, pieces, pii, quality, secrets, simhash
 from codefacts.llm.common import table
 
 #: The conversation that op3 adds: control strings inside texts.
@@ -26,6 +26,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("kept.doc_id", *[f"m.{c}" for c in names], "base_failed", F.col("kept_by_rules").alias("kept"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.chats(turns.unionByName(spark.createDataFrame(ADDED, "conv_id long, turn long, role string, text string")))
@@ -48,7 +52,7 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), model_file(), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_chat, op4_simhash, op5_mixing, op8_secrets, op9_pieces)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_chat, op4_simhash, op5_mixing, op8_secrets, op9_pieces)}
 ORACLES = {
     "op3_chat": chat.oracle("VALUES " + ", ".join(str(r) for r in ADDED)),
     "op5_mixing": mixing.oracle(),
