@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import chat, mixing, pieces, pii, quality, secrets, simhash
+from codefacts.llm import chat, mixing, pieces, pii, quality, secrets, simhash, warc
 from codefacts.llm.common import table
 
 #: The conversation that op3 adds: control strings inside texts.
@@ -52,7 +52,11 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"), model_file(), ids=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_chat, op4_simhash, op5_mixing, op8_secrets, op9_pieces)}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_chat, op4_simhash, op5_mixing, op8_secrets, op9_pieces, op10_warc)}
 ORACLES = {
     "op3_chat": chat.oracle("VALUES " + ", ".join(str(r) for r in ADDED)),
     "op5_mixing": mixing.oracle(),
