@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codefacts.llm import chat, mixing, pieces, pii, quality, secrets, simhash, warc
+from codefacts.llm import chat, lm, mixing, pieces, pii, quality, secrets, simhash, topk, warc
 from codefacts.llm.common import table
 
 #: The conversation that op3 adds: control strings inside texts.
@@ -43,6 +43,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.secrets(table(spark, sf_dir, "documents"), F.col("doc_id").cast("long"))
     return found.select(F.col("kept").alias("doc_id"), "n_assign", "n_access", "n_hex", "base_sha256", secrets.spelled().alias("spans"))
@@ -56,8 +64,9 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_chat, op4_simhash, op5_mixing, op8_secrets, op9_pieces, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_pii, op3_chat, op4_simhash, op5_mixing, op6_lm, op7_topk, op8_secrets, op9_pieces, op10_warc)}
 ORACLES = {
     "op3_chat": chat.oracle("VALUES " + ", ".join(str(r) for r in ADDED)),
     "op5_mixing": mixing.oracle(),
+    "op7_topk": topk.oracle(),
 }
