@@ -30,12 +30,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import cut, n_words, ship
+from codefacts.llm.common import BLANK, cut, n_words, ship
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK = 16
-SHARD = 4_000_000
+SHARD = 250_000
 #: A prime above any number of blocks in a shard.
 PRIME = 1_000_000_007
 
@@ -101,6 +101,25 @@ def mixed(docs: DataFrame, seed: str = "mix", block: int = BLOCK, shard: int = S
     return placed.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source")
 
 
+def applied(docs: DataFrame) -> DataFrame:
+    """The mix itself: whole copies of each document, and one cut to as many words as are taken beyond them.
+
+    Rows with equal id, text and source are one document that is taken for all of them.
+    """
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text", "source").alias("k"))
+    takes = mixed(keyed.select(F.col("k").alias("doc_id"), "row.text", "row.source")).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
+    takes = cut(takes.where("taken > 0"))
+    if takes.where("rows > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["k"])
+    rows = keyed.join(takes, F.col("k") == F.col("doc_id")).select("row", "taken", "size", F.explode(F.expr("sequence(1L, (taken + size - 1) div size)")).alias("copy"))
+    blank = f"[{BLANK}]+"
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    words = F.split(F.regexp_replace("row.text", f"^{blank}|{blank}$", ""), blank)
+    text = F.when(left >= F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), " "))
+    columns = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return rows.select(*[columns[c].alias(c) if c in columns else F.col(f"row.{c}") for c in docs.columns])
+
+
 def oracle() -> str:
     """The same mix in DuckDB's SQL over a table ``documents``."""
     digest = lambda x: f"('0x' || substr(md5({x}), 1, 15))::BIGINT"
