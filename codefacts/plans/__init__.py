@@ -1,0 +1 @@
+"""Queries and commands built from the operators."""
