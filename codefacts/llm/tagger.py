@@ -118,7 +118,7 @@ class Tagger:
             g["E"] += dz_all @ w[f"Wx{d}"].T
         return float((z - gold).mean()), {k: (v / B).astype(np.float32) for k, v in g.items()}
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 11) -> list[float]:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 11) -> list[float]:
         """Adam over windows x [N, T] with labels y; the mean loss of each epoch."""
         r = np.random.default_rng(seed)
         m, v, losses, step = {k: np.zeros_like(a) for k, a in self.w.items()}, {k: np.zeros_like(a) for k, a in self.w.items()}, [], 0
