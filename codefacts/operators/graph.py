@@ -196,7 +196,8 @@ def _settled(batches):
         if len(group) > 1 or start in forth.get(start, ()):
             nodes += group
             names += [min(group)] * len(group)
-    yield pd.DataFrame({"node": nodes, "scc": names})
+    if nodes:
+        yield pd.DataFrame({"node": nodes, "scc": names})
 
 
 def components(edges: DataFrame, local: int = LOCAL) -> DataFrame:

@@ -36,11 +36,27 @@ def tree(spark: SparkSession, root: str, largest: int | None = None) -> DataFram
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     if largest is not None:
         rows = rows.where(F.col("length") <= largest)
+    # Spark leaves out empty files, which are modules all the same.
+    none = spark.createDataFrame([(p, t) for p, t in _empty(spark, root)], "path string, at long").select("path", F.timestamp_millis("at").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
+    rows = rows.select("path", "modificationTime", "length", "content").unionByName(none)
     base = F.lit(root.rstrip("/") + "/")
     path = F.regexp_replace("path", "^file:/*", "/")
     return rows.select(F.when(path.startswith(base), F.substring(path, F.length(base) + 1, F.length(path))).otherwise(path).alias("path"), F.col("content").cast("string").alias("text"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
 
 
+def _empty(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """(path, mtime) of the empty files below a folder, from the driver's listing."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    out = []
+    while found.hasNext():
+        f = found.next()
+        if f.getLen() == 0:
+            out.append((f.getPath().toString(), f.getModificationTime()))
+    return out
+
+
 def visible(files: DataFrame, skip: tuple[str, ...] = SKIP) -> DataFrame:
     """SC1: files outside skipped and hidden folders."""
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
