@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codefacts.operators import resolve
+from codefacts.session import ship
 
 COLUMNS = ("path", "module", "fact", "name", "qual", "owner", "target", "form", "base", "line", "end", "text", "flag")
 SCHEMA = ", ".join(f"{c} {'int' if c in ('line', 'end') else 'boolean' if c == 'flag' else 'string'}" for c in COLUMNS)
@@ -312,3 +313,6 @@ def matched_symbols(rows: DataFrame) -> DataFrame:
 def matched_facts(rows: DataFrame) -> DataFrame:
     """FX20: code facts from an external matcher's rows (path, fact, name, line, end, text)."""
     return rows.select("path", "fact", "name", "line", "end", "text").dropDuplicates(["path", "fact", "line", "text"])
+
+
+ship(__name__)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.functions.scalars import is_test_file, is_test_symbol, jitter
-from codefacts.session import cut
+from codefacts.session import cut, ship
 
 
 class Reached(NamedTuple):
@@ -391,3 +391,6 @@ def force_layout(nodes: DataFrame, edges: DataFrame, rounds: int = 50, most: int
 
     kind = nodes.schema["node"].dataType.simpleString()
     return start.join(links, "g", "left").mapInPandas(run, f"node {kind}, x double, y double")
+
+
+ship(__name__)

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(name: str) -> None:
+    """Send a module's functions to the executors by value, so that they need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``, which driver and executors share; a local folder only where it is unset, as in tests."""
     sc = spark.sparkContext

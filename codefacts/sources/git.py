@@ -18,6 +18,8 @@ import subprocess
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from codefacts.session import ship
+
 SCHEMAS = {
     "blobs": "path string, text string",
     "log": "sha string, ts long, agent string, path string",
@@ -116,3 +118,6 @@ def read(spark, repo: str, kind: str, **options: str):
     for k, v in options.items():
         r = r.option(k, v)
     return r.load()
+
+
+ship(__name__)

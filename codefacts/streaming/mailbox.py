@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codefacts.functions.patterns import INNERMOST_FIRST
 from codefacts.functions.scalars import library_frame, stable_id, thread_of, to_int
 from codefacts.sources import jsonl
+from codefacts.session import ship
 
 ORIGINS = ("main", "thread-main", "exception", "process", "signal", "worker", "promise", "goroutine", "task")
 FRAME = "file string, short_src string, source string, line string, function string, method string, what string, class string, native boolean, locals map<string,string>"
@@ -115,3 +116,6 @@ def _state(first, read, commit, after) -> str:
     if commit is not None and commit > first:
         return "intervenida" if after else "en-silencio"
     return "leida" if read else "capturada"
+
+
+ship(__name__)
