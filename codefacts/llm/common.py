@@ -25,9 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     set as the checkpoint folder of the session's context.
     """
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="codefacts-checkpoint-")
+        known = sc._jsc.sc().getCheckpointDir()
+        found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="codefacts-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)
     return found
