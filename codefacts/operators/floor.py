@@ -10,7 +10,7 @@ LEVELS = (
     ("alcance", 0, ("SCOPE.md", "docs/SCOPE.md")),
     ("arquitectura", 1, ("ARCHITECTURE.md", "docs/ARCHITECTURE.md")),
     ("decisiones", 2, ("docs/adr",)),
-    ("fronteras", 3, (".gb-boundaries",)),
+    ("fronteras", 3, (".boundaries",)),
     ("agentes", 4, ("AGENTS.md", "CLAUDE.md")),
     ("tests", 5, ("tests", "test", "spec")),
     ("puertas", 6, (".pre-commit-config.yaml", ".husky", ".git/hooks/pre-commit")),

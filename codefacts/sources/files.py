@@ -101,13 +101,13 @@ def changed(now: DataFrame, before: DataFrame) -> DataFrame:
     return a.join(b, "path", "full_outer").where(~F.col("n").eqNullSafe(F.col("b"))).select("path")
 
 
-def rules_files(listing: DataFrame, name: str = ".gb-boundaries", depth: int = 2) -> DataFrame:
+def rules_files(listing: DataFrame, name: str = ".boundaries", depth: int = 2) -> DataFrame:
     """SC35: the rules file that counts: at the root, else the least deep."""
     level = F.size(F.split("path", "/")) - 1
     return listing.where((F.element_at(F.split("path", "/"), -1) == name) & (level <= depth)).orderBy(level, "path").limit(1).select("path")
 
 
-def stray_rules(listing: DataFrame, used: str | None, name: str = ".gb-boundaries") -> DataFrame:
+def stray_rules(listing: DataFrame, used: str | None, name: str = ".boundaries") -> DataFrame:
     """SC36: rules files that were not consulted."""
     rows = listing.where(F.element_at(F.split("path", "/"), -1) == name).select("path")
     return rows.where(F.col("path") != used) if used else rows
