@@ -90,6 +90,17 @@ class Codec:
                 self.single[r] = True
         self.known: dict[str, tuple] = {}
 
+    @classmethod
+    def of(cls, path: str) -> Codec:
+        """The process's codec for a file: a worker that runs many tasks builds it once and goes on with its table."""
+        import sentencepiece
+
+        kept = sentencepiece.__dict__.setdefault("_codefacts_codecs", {})
+        if path not in kept:
+            kept.clear()
+            kept[path] = cls(path)
+        return kept[path]
+
     def _look(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         key = a * self.base + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -244,7 +255,7 @@ def encoded(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) of every row; the digests are of the ids and of the text decoded from them."""
 
     def run(batches):
-        codec = Codec(path)
+        codec = Codec.of(path)
         for whole in batches:
             for b in small(whole):
                 texts = [t or "" for t in b.column(1).to_pylist()]
