@@ -8,8 +8,10 @@ out at signs, phone numbers without a plus or cards with other separators, next
 to numbers that are none of these.
 
 Texts are read whole in windows of ``WIDTH`` characters that overlap by half.
-Every kind needs a digit or an at sign, and the decoder may only label windows
-that hold one; the others are outside by that constraint and are not computed.
+A span counts only if it is ``plausible``, which needs digits, or an at sign or
+"at" with a dot or "dot" after it.  Windows on such places, over all that a
+plausible address can reach around them (``reaches``), are computed; in the
+others no span can pass that test.
 Windows are decoded together, and each character takes the label of the window
 in whose middle it lies farthest from an edge, which gives one label sequence
 for the whole text, from which spans are read.  A span of the model must still
@@ -42,6 +44,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 TRIGGER = re.compile("[0-9@]")
+#: What every plausible address holds: its at sign, spelled or not, one more part and a dot, spelled or not.
+CORE = re.compile(r"(?=(?:@|at|AT)[\])]?\s?[A-Za-z0-9-]+\s?[\[(]?(?:\.|dot|DOT)[\])]?\s?([A-Za-z0-9-]))")
+#: From there as far as an address can go on.
+WAY = re.compile(r"(?:@|at|AT)[\])]?\s?[A-Za-z0-9-]*(?:(?:(?<=dot)|(?<=DOT)|\s?[\[(]?(?:\.|dot|DOT))[\])]?\s?[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 BLANKS = re.compile(r"[\x20\x09-\x0D]")
 WIDTH, HOP = 64, 32
 SAMPLE, WINDOWS, MADE = 1500, 1500, 1200
@@ -94,6 +101,31 @@ def plausible(kind: str, s: str) -> bool:
     return 7 <= len(d) <= 15 and not re.search(r"[A-Za-z]", s) and (s[0] in "+(0" or bool(re.search(r"[0-9][-. ()]+[0-9]{3,}", s)))
 
 
+def reaches(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every place where a plausible span can be: digits and at signs, and the whole length of possible addresses."""
+    out = [(m.start(), m.end()) for m in TRIGGER.finditer(text)]
+    last = end = 0
+    for m in CORE.finditer(text):
+        at = s = m.start()
+        s -= text[s - 1 : s] in ("[", "(")
+        s -= text[s - 1 : s].isspace() if s else 0
+        while s > last and text[s - 1] in LOCAL:
+            s -= 1
+        if m.end(1) > end and (w := WAY.match(text, at)):
+            end = max(end, w.end())
+        out.append((s, max(end, m.end(1))))
+        last = at
+    return out
+
+
+def window_starts(text: str) -> list[int]:
+    """Starts of the windows over all reaches and a character on both sides."""
+    blocks: set[int] = set()
+    for s, e in reaches(text):
+        blocks.update(range(max(0, s - 1) // HOP - 1, e // HOP + 1))
+    return sorted({max(0, w) * HOP for w in blocks})
+
+
 def _generated(rng: random.Random) -> tuple[str, str, str]:
     """(piece, kind or empty, sort of form): forms of personal data that the patterns miss or find, and numbers that are none."""
     word = lambda: "".join(rng.choice(["an", "re", "th", "on", "is", "el", "mar", "jo", "li", "son"]) for _ in range(rng.randint(1, 3)))
@@ -101,7 +133,8 @@ def _generated(rng: random.Random) -> tuple[str, str, str]:
     sort = rng.randrange(12)
     if sort < 3:
         at, dot = rng.choice([("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), ("[at]", "[dot]")])
-        return f"{word()}{rng.choice(['.', '', '_'])}{num(rng.randint(1, 2))}{at}{word()}{num(1)}{dot}{rng.choice(['com', 'org', 'net', 'example' + dot + 'com'])}", "email", "e"
+        tail = lambda n: num(rng.randint(1, n)) if rng.random() < 0.5 else ""
+        return f"{word()}{rng.choice(['.' + word(), '', '_' + word()])}{tail(2)}{at}{word()}{tail(1)}{dot}{rng.choice(['com', 'org', 'net', 'example' + dot + 'com'])}", "email", "e"
     if sort < 5:
         dot = rng.choice([".", ".", "[.]", "(dot)"])
         return dot.join(str(rng.randrange(256)) for _ in range(4)), "ip", "i"
@@ -115,7 +148,7 @@ def _generated(rng: random.Random) -> tuple[str, str, str]:
     if sort == 9:
         d = num(16)
         return (d if not luhn(d) else d[:-1] + str((int(d[-1]) + 1) % 10)), "", "n"
-    return rng.choice([f"{num(1)}.{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f'token = "{num(8)}ab{num(6)}ef{num(12)}"', f"{num(3)}", f"v{num(1)}.{num(1)}.{num(1)}", f"@{word()}", f"http://{word()}.com/{num(3)}?page={num(1)}"]), "", "o"
+    return rng.choice([f"{num(1)}.{num(1)}", f"20{num(2)}-0{num(1)}-1{num(1)}", f'token = "{num(8)}ab{num(6)}ef{num(12)}"', f"{num(3)}", f"v{num(1)}.{num(1)}.{num(1)}", f"@{word()}", f"http://{word()}.com/{num(3)}?page={num(1)}", f"{word()} at {word()}. {word()}", f"th{rng.choice(['at', 'at is'])} {word()}. {word()}"]), "", "o"
 
 
 def made_windows(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int, str]]]]:
@@ -167,18 +200,16 @@ def trained(windows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int =
 def sampled(docs: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Windows with rule-labelled spans from a bounded sample of documents, the same at every run."""
     share = min(1.0, sample / max(1, docs.count()))
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("o"), F.col("text").cast("string").alias("text")).where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000)).where(F.col("text").rlike("[0-9@]"))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("o"), F.col("text").cast("string").alias("text")).where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000))
 
     def run(batches):
         for b in batches:
             out = []
             for o, t in zip(b.column(0).to_pylist(), b.column(1)):
-                text = t.as_py()
+                text = t.as_py() or ""
                 spans = base_spans(text)
-                for n, m in enumerate(TRIGGER.finditer(text)):
-                    if n >= 8:
-                        break
-                    at = max(0, m.start() - (o + 7 * n) % 48)
+                for n, (start, _) in enumerate(sorted(reaches(text))[:8]):
+                    at = max(0, start - (o + 7 * n) % 48)
                     out.append((o, n, text[at : at + WIDTH], [x for s, e, k in spans if s < at + WIDTH and e > at for x in (max(0, s - at), min(WIDTH, e - at), KINDS.index(k))]))
             cols = list(zip(*out)) or [()] * 4
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())))], ["o", "n", "window", "spans"])
@@ -191,11 +222,7 @@ def model_spans(model: Tagger, texts: list[str], bases: list[list[tuple[int, int
     """The model's spans of whole texts, by kind as listed, then start; spans that touch a base span are dropped."""
     places = []
     for i, text in enumerate(texts):
-        starts: set[int] = set()
-        for m in TRIGGER.finditer(text):
-            w = m.start() // HOP
-            starts |= {max(0, w - 1), w}
-        places += [(i, w * HOP) for w in sorted(starts)]
+        places += [(i, s) for s in window_starts(text)]
     ok = allowed()
     sequences: dict[int, tuple[list[int], list[np.ndarray]]] = {}
     for at in range(0, len(places), batch):

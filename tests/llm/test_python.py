@@ -211,6 +211,33 @@ def test_model_finds_held_out_spans(spark, weird):
     pii.model_spans(model, [long], [[]])
 
 
+def test_address_without_digits_comes_out_of_a_long_text():
+    model = pii.trained(pii.made_windows(1200))
+    addresses = ["jane.doe [at] example [dot] com", "marjo.lison [at] relan [dot] org", "thelis_son(at)marel.com", "jo.marli [at] isre [dot] net"]
+    found = 0
+    for a in addresses:
+        text = "word " * 400 + a + " word" * 400
+        assert pii.plausible("email", a) and not set(a) & set("0123456789@")
+        assert any(s <= 2000 and e >= 2000 + len(a) for s, e in pii.reaches(text))
+        got = pii.model_spans(model, [text], [[]])[0]
+        assert set(got) <= {(2000, 2000 + len(a), "email")}
+        found += len(got)
+    assert found >= 3
+
+
+def test_reaches_cover_every_plausible_address():
+    r = random.Random(12)
+    parts = ["a", "at", "AT", "dot", "x-y", ".", " ", "[", "]", "(", ")", "@", "_", "\n", "é"]
+    hits = 0
+    for _ in range(10000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(4, 12)))
+        spans = [(s, e) for s in range(len(text)) for e in range(s + 1, len(text) + 1) if pii.plausible("email", text[s:e])]
+        hits += bool(spans)
+        covered = {p for s, e in pii.reaches(text) for p in range(s, e)}
+        assert all(set(range(s, e)) <= covered for s, e in spans), text
+    assert hits > 100
+
+
 # language model ------------------------------------------------------------
 
 
