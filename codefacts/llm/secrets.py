@@ -12,11 +12,14 @@ uses, and it is tested
 
 A candidate is random if none of the three rejects randomness at ``ALPHA``
 (Bonferroni).  Short runs pass such tests for want of power, so a discovery also
-needs evidence against ordinary writing: the chance that text of its length,
-with the coincidences of natural language, has so few equal pairs.  These
-chances enter a Benjamini-Hochberg control at ``FDR`` over all documents, in
-strata of length, from a histogram of fixed size, so short strings need
-stronger evidence by themselves and do not borrow from long ones.
+needs evidence against ordinary writing: the likelihood ratio of writing, which
+keeps to a class of characters (small, capital, digit, sign) for a while and
+uses letters as texts do, to uniform draws from the inferred alphabet.  Under
+writing the chance of a ratio that low is at most the ratio itself (Markov's
+inequality), times the number of alphabets to choose from.  These chances enter
+a Benjamini-Hochberg control at ``FDR`` over all documents, in strata of length,
+from a histogram of fixed size, so short strings need stronger evidence by
+themselves and do not borrow from long ones.
 
 Defined cases: null text is empty; repeated rows give repeated results; offsets
 are code points, ends exclusive; other columns are ignored, or carried in a
@@ -47,9 +50,13 @@ ALPHA, FDR = 0.01, 0.01
 STRATA = (20, 24, 32, 48, 64, 128)
 #: Chances are counted in bins of a quarter of a power of ten.
 BINS, STEP = 80, 4
-#: Coincidence rates of ordinary writing: sum of squares and of cubes of the letters' shares.
-WRITING = (0.066, 0.0055)
-HEX_WRITING = (0.11, 0.015)
+#: Shares of letters in texts, in thousandths, a to z; a tenth of the mass is spread evenly, for other languages and names.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+LETTER_BITS = {chr(97 + i): -math.log2(0.9 * x / sum(LETTERS) + 0.1 / 26) for i, x in enumerate(LETTERS)}
+#: Chance that writing changes to another class of characters, one of three.
+CHANGE = 0.1
+#: Alphabets that ``encoding`` chooses from.
+ALPHABETS = 12
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -103,6 +110,18 @@ def _poisson(u: int, mean: float) -> float:
     return min(1.0, total)
 
 
+def writing_bits(s: str) -> float:
+    """Bits that a run takes as ordinary writing; its first class costs nothing, which favours writing."""
+    bits, before = 0.0, None
+    stay, change = -math.log2(1 - CHANGE), -math.log2(CHANGE / 3)
+    for c in s:
+        now = "d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "+"
+        bits += 0.0 if before is None else stay if now == before else change
+        bits += math.log2(10) if now == "d" else 2.0 if now == "+" else LETTER_BITS[c.lower()]
+        before = now
+    return bits
+
+
 def battery(s: str) -> tuple[float, float] | None:
     """(chance under randomness, chance under ordinary writing) of a run, or none where no encoding fits."""
     found = encoding(s)
@@ -110,7 +129,7 @@ def battery(s: str) -> tuple[float, float] | None:
     n = len(s)
     if not found or n < FEWEST:
         return None
-    alphabet, is_hex = found
+    alphabet, _ = found
     k = len(alphabet)
     place = {c: i for i, c in enumerate(alphabet)}
     v = [place.get(c, 0) for c in s]
@@ -133,10 +152,7 @@ def battery(s: str) -> tuple[float, float] | None:
     m = sum(v) / n
     spread = sum((x - m) ** 2 for x in v)
     serial = 2 * _normal(-abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
-    q, cubes = HEX_WRITING if is_hex else WRITING
-    mean = all_pairs * q
-    sd = math.sqrt(all_pairs * (q - q * q) + n * (n - 1) * (n - 2) * (cubes - q * q))
-    writing = max(_normal((pairs + 0.5 - mean) / sd), _poisson(pairs, mean))
+    writing = min(1.0, ALPHABETS * 2.0 ** (n * math.log2(k) - writing_bits(s)))
     return min(1.0, 3 * min(uniform, in_runs, serial)), writing
 
 

@@ -154,6 +154,21 @@ def test_random_strings_are_found_and_prose_is_not(spark, weird):
     assert secrets.masked("ab secret cd", [(3, 9), (5, 8)]) == "ab [SECRET] cd"
 
 
+def test_few_short_keys_among_many_long_words_are_found(spark):
+    r = random.Random(21)
+    key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    parts = ["inter", "national", "Handler", "factory", "wort", "schaft", "ungen", "Manager", "element", "config", "/usr", "_name", "station", "donau", "Request"]
+    words = []
+    while len(words) < 8000:
+        w = "".join(r.choice(parts) for _ in range(5))
+        words += [w] if len(w) >= 20 else []
+    docs = [(i, " ".join(words[20 * i : 20 * i + 20])) for i in range(400)]
+    docs += [(1000 + i, f"see {key(20 + i % 12)} there") for i in range(60)]
+    found = {x.kept: len(x.found) for x in secrets.secrets(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id")).collect()}
+    assert sum(found[1000 + i] == 1 for i in range(60)) >= 54
+    assert sum(found[i] for i in range(400)) <= 2
+
+
 # personal data -------------------------------------------------------------
 
 
