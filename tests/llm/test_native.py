@@ -55,6 +55,14 @@ def test_certified_cutoff_rejects_bad_and_keeps_good(spark):
     assert lost <= 0.02 * 7200 and (bad == 0)
 
 
+def test_every_label_certifies_whatever_the_sample(spark):
+    words = "concat_ws(' ', transform(sequence(1, 60), i -> concat('w', i + id)))"
+    docs = spark.range(8000).selectExpr("id as doc_id", f"concat({words}, if(id % 10 = 0, ' ### $$$ ***', '')) as text", "'en' as lang")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 10 = 0, 0, 1) as quality")
+    few = rows(quality.cutoffs(docs, labels, sample=500))
+    assert [r[0] for r in few] == ["en"] and any(c is not None for c in few[0][1])
+
+
 def test_no_cutoff_without_enough_labels(spark, weird):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (999, 0), (4, None)], "doc_id long, quality int")
     assert rows(quality.cutoffs(weird, labels)) == []
