@@ -67,6 +67,24 @@ def test_each_stage_against_a_plain_version(spark, tmp_path):
         before = after
 
 
+def test_texts_of_jaccard_four_fifths_leave_one_copy(spark, tmp_path):
+    r = random.Random(31)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    data = []
+    for g in range(20):
+        words = [word() for _ in range(100)]
+        edited = [*words]
+        edited[50] = word()
+        edited[20] = word()
+        data += [(10 * g, " ".join(words)), (10 * g + 1, " ".join(edited)), (10 * g + 2, " ".join([*words[:70], *[word() for _ in range(30)]]))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], DOCS)
+    parts = {i: {tuple(t.split()[k : k + 5]) for k in range(96)} for i, t in data}
+    alike = lambda a, b: 5 * len(parts[a] & parts[b]) >= 4 * len(parts[a] | parts[b])
+    assert all(alike(10 * g, 10 * g + 1) and not alike(10 * g, 10 * g + 2) for g in range(20))
+    got = {x.doc_id for x in corpus_pipeline.near_copies_stage(spark, docs, "").collect()}
+    assert got == {10 * g + k for g in range(20) for k in (0, 2)}
+
+
 def test_run_is_the_stages_and_empty_tables_pass(spark, tmp_path):
     sf = str(tmp_path)
     spark.createDataFrame(corpus(2, 30), DOCS).write.parquet(f"{sf}/documents.parquet")
