@@ -55,4 +55,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(f"[^{BLANK}]+")), F.lit(0)).cast("long")
 
 
+def words_of(text: Column | str) -> Column:
+    """Array of a text's words.
+
+    A blank at either end leaves an empty piece, which is dropped by its place;
+    trimming by a pattern with ``$`` would also match before a last line
+    separator that is no blank here (U+0085, U+2028, U+2029).
+    """
+    pieces = F.split(text, f"[{BLANK}]+")
+    first, last = (F.get(pieces, F.lit(0)) == "").cast("int"), (F.get(pieces, F.size(pieces) - 1) == "").cast("int")
+    return F.slice(pieces, first + 1, F.greatest(F.lit(0), F.size(pieces) - first - last))
+
+
 ship(__name__)

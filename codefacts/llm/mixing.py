@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.llm.common import BLANK, cut, n_words, ship
+from codefacts.llm.common import cut, n_words, ship, words_of
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -77,8 +77,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: str = "mix", block: int = BLOCK, shard: int = SHARD) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for every row of (doc_id, text, source)."""
-    sized = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), n_words(F.col("text").cast("string")).alias("size"), F.col("source").cast("string").alias("source")))
+    """(doc_id, size, source_size, target, taken, source) for every row of (doc_id, text, source); ids of any type that casts to a string."""
+    sized = cut(docs.select("doc_id", n_words(F.col("text").cast("string")).alias("size"), F.col("source").cast("string").alias("source")))
     aims = targets(sized).withColumn("_seats", F.floor(F.sum("target").over(Window.partitionBy(F.lit(0))) / block + 0.5))
     quotas = apportion(aims, None, [F.asc_nulls_last("source")], "target", "_seats").select("source", "source_size", "target", F.col("quota").alias("blocks"))
     quotas = cut(quotas)
@@ -104,18 +104,19 @@ def mixed(docs: DataFrame, seed: str = "mix", block: int = BLOCK, shard: int = S
 def applied(docs: DataFrame) -> DataFrame:
     """The mix itself: whole copies of each document, and one cut to as many words as are taken beyond them.
 
-    Rows with equal id, text and source are one document that is taken for all of them.
+    Rows equal in all columns are one document that is taken for all of them.  A
+    row is known by SHA-256 over all its columns; ``mixed`` orders rows by a
+    64-bit part of it, with the whole digest settling ties.
     """
-    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text", "source").alias("k"))
+    digest = F.sha2(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}), 256)
+    keyed = docs.select(F.struct("*").alias("row"), digest.alias("k"))
     takes = mixed(keyed.select(F.col("k").alias("doc_id"), "row.text", "row.source")).groupBy("doc_id").agg(F.sum("taken").alias("taken"), F.max("size").alias("size"), F.count("*").alias("rows"))
     takes = cut(takes.where("taken > 0"))
     if takes.where("rows > 1").limit(1).count():
         keyed = keyed.dropDuplicates(["k"])
     rows = keyed.join(takes, F.col("k") == F.col("doc_id")).select("row", "taken", "size", F.explode(F.expr("sequence(1L, (taken + size - 1) div size)")).alias("copy"))
-    blank = f"[{BLANK}]+"
     left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
-    words = F.split(F.regexp_replace("row.text", f"^{blank}|{blank}$", ""), blank)
-    text = F.when(left >= F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), " "))
+    text = F.when(left >= F.col("size"), F.col("row.text")).otherwise(F.array_join(F.slice(words_of("row.text"), F.lit(1), left.cast("int")), " "))
     columns = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return rows.select(*[columns[c].alias(c) if c in columns else F.col(f"row.{c}") for c in docs.columns])
 

@@ -40,7 +40,7 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(table(spark, sf_dir, "documents").withColumn("doc_id", F.col("doc_id").cast("long")))
 
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,10 +26,10 @@ def test_measures_match_brute_force(spark, weird):
 
 
 def test_repeats_that_overlap(spark):
-    texts = ["a a a a a", "a b c a b c a", "a b c d a b c", "x y z", "p q r s p q r t q r s"]
+    texts = ["a b \u2028", "a b \u0085", " \u2029 a \u2029", "a b\r\n", "  ", "\n", "a a a a a", "a b c a b c a", "a b c d a b c", "x y z", "p q r s p q r t q r s"]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in quality.measured(d, "text").select("kept.text", "m.n_repeat_words").collect():
-        assert r[1] == brute(r[0])[4], r[0]
+    for r in quality.measured(d, "text").select("kept.text", "m.n_repeat_words", "m.n_words", "m.word_chars").collect():
+        assert (r[1], r[2], r[3]) == (brute(r[0])[4], *brute(r[0])[:2]), r[0]
 
 
 def test_binomial_bound_is_exact(spark):
