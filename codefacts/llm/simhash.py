@@ -247,75 +247,4 @@ def near_copies(docs: DataFrame, width: int = 3, bucket: int = BUCKET) -> DataFr
     return each.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """The distinct word shingles of one text as sorted hashes; a text of fewer words is one."""
-    words = (text or "").encode().lower().split()
-    n = max(1, len(words) - width + 1) if words else 0
-    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n)
-    return np.unique(h.view(np.int64))
-
-
-def similar(docs: DataFrame, classes: DataFrame, width: int = 5, sample: int = 20_000) -> DataFrame:
-    """(node, root): classes of near copies that texts of five-word Jaccard 0.8 or more join, by smallest id.
-
-    ``docs`` has a ``text``, ``classes`` is ``near_copies`` of them.  Texts of
-    such similarity share one of the first n - ceil(0.8 n) + 1 of their shingles
-    in any common order (prefix filter), so nothing is missed; shingles frequent
-    in a bounded sample come last, which keeps common passages out of buckets.
-    In each bucket the smallest set is tested with all others first; then all
-    pairs of sets whose classes are still apart.  Every pair is tested exactly.
-    """
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            fps = np.fromiter((fingerprint(t, 3) for t in texts), np.uint64, len(texts)).view(np.int64)
-            sets = [shingles(t, width) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(fps), pa.array(sets, pa.list_(pa.int64()))], ["fp", "sh"])
-
-    sets = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "fp long, sh array<long>").where("size(sh) > 0")
-    named = classes.select(F.conv("fingerprint", 16, -10).cast("long").alias("fp"), F.col("component_id").alias("c")).distinct()
-    each = cut(sets.withColumn("s", F.xxhash64("sh")).dropDuplicates(["fp", "s"]).join(named, "fp").select("s", "c", "sh"))
-    one = cut(each.groupBy("s").agg(F.min("c").alias("c"), F.first("sh").alias("sh")))
-    edges = each.select("s", F.col("c").alias("b")).join(one.select("s", F.col("c").alias("a")), "s").where("a != b").select("a", "b")
-    share = min(1.0, sample / max(1, one.count()))
-    often = one.where(F.pmod(F.xxhash64("s"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.explode("sh").alias("t")).groupBy("t").count().where("count >= 4").orderBy(F.desc("count"), "t").limit(100_000)
-    found = sorted((r[0], r[1]) for r in often.collect())
-    shared = docs.sparkSession.sparkContext.broadcast((np.array([x[0] for x in found] or [0], np.int64), np.array([x[1] for x in found] or [0], np.int64)))
-
-    def prefixes(batches):
-        keys, counts = shared.value
-        for b in batches:
-            t, s, c, n = [], [], [], []
-            for i, k, sh in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                v = sh.values.to_numpy()
-                at = np.minimum(np.searchsorted(keys, v), len(keys) - 1)
-                first = v[np.lexsort((v, np.where(keys[at] == v, counts[at], 0)))[: len(v) - (4 * len(v) + 4) // 5 + 1]].tolist()
-                t += first
-                s += [i] * len(first)
-                c += [k] * len(first)
-                n += [len(v)] * len(first)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (t, s, c, n)], ["t", "s", "c", "n"])
-
-    kept = one.select("s", "c", "sh").mapInArrow(prefixes, "t long, s long, c long, n long")
-    met = cut(kept.join(kept.groupBy("t").agg(F.count("*").alias("m")).where("m > 1").select("t"), "t"))
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        a, b = (one.select(F.col("s").alias(x), F.col("sh").alias(f"sh_{x}"), F.col("c").alias(f"c_{x}")) for x in "xy")
-        both = pairs.distinct().join(a, "x").join(b, "y").withColumn("o", F.size(F.array_intersect("sh_x", "sh_y")))
-        return both.where("5 * o >= 4 * (size(sh_x) + size(sh_y) - o)").select(F.col("c_x").alias("a"), F.col("c_y").alias("b"))
-
-    least = met.groupBy("t").agg(F.min(F.struct("s", "c", "n")).alias("p"))
-    sizes = lambda n, m: (5 * F.least(n, m) >= 4 * F.greatest(n, m))
-    pairs = met.join(least, "t").where((F.col("p.c") != F.col("c")) & sizes(F.col("p.n"), F.col("n"))).select(F.col("p.s").alias("x"), F.col("s").alias("y"))
-    edges = cut(edges.unionByName(tested(pairs)).distinct())
-    roots = components(edges)
-    now = met.join(roots, met["c"] == roots["node"], "left").select("t", "s", "n", F.coalesce("root", "c").alias("c"))
-    apart = now.join(now.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("t"), "t")
-    apart = cut(apart)
-    g, h = apart.alias("g"), apart.alias("h")
-    pairs = g.join(h, (F.col("g.t") == F.col("h.t")) & (F.col("g.s") < F.col("h.s")) & (F.col("g.c") != F.col("h.c")) & sizes(F.col("g.n"), F.col("h.n"))).select(F.col("g.s").alias("x"), F.col("h.s").alias("y"))
-    return components(edges.unionByName(tested(pairs)).distinct())
-
-
 ship(__name__)

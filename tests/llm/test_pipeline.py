@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline
-from codefacts.llm import mixing, pieces, queries, secrets
+from codefacts.llm import jaccard, mixing, pieces, queries, secrets
 from tests.llm.test_native import WORD, brute
 from tests.llm.test_python import plain_components, plain_fingerprint, plain_secrets
 
@@ -93,3 +93,43 @@ def test_run_is_the_stages_and_empty_tables_pass(spark, tmp_path):
     empty = spark.createDataFrame([], DOCS)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_rows_that_share_an_id_are_told_apart_by_their_text(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta " * 9), ("one two three four five six seven eight nine " * 9)
+    data = [(1, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "de", "s", 1)]
+    got = [tuple(r) for r in corpus_pipeline.near_copies_stage(spark, spark.createDataFrame(data, DOCS), "").collect()]
+    assert len(got) == 2 and data[0] in got and {r[:2] for r in got} == {(1, a), (5, b)}
+
+
+def test_large_groups_lose_no_similar_pair(spark):
+    """Three families of edited copies that share a long passage, more than a group holds, against all pairs."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    common, texts = [word() for _ in range(70)], []
+    for _ in range(3):
+        base = [*common, *[word() for _ in range(40)]]
+        for _ in range(25):
+            now = [*base]
+            for _ in range(r.randint(1, 4)):
+                now[r.randrange(len(now))] = word()
+            texts.append(" ".join(now))
+    r.shuffle(texts)
+    sets = [jaccard.shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    fps = [plain_fingerprint(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(set(sets[i].tolist()) & set(sets[j].tolist()))
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) or (fps[i] ^ fps[j]).bit_count() <= 3:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    assert {x.doc_id for x in corpus_pipeline.near_copies_stage(spark, docs, "").collect()} == {find(i) for i in range(len(texts))}
+    assert 3 < len({find(i) for i in range(len(texts))}) < 75
