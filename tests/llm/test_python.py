@@ -276,19 +276,107 @@ def test_scores_against_plain_counts(spark, weird):
     assert lm.scored(docs.limit(0)).count() == 0
 
 
-def test_token_chances_sum_to_one_at_every_bit():
+def test_chances_of_all_bytes_sum_to_one():
     words = [b"ab", b"ac", b"b", b""]
-    counts = np.zeros((lm.OFFSETS[-1], 2), np.float32)
+    counts = np.zeros((lm.OFFSETS[-1], 2))
     for w, k in zip(words, (5, 3, 2, 4)):
         slots, bit, _, _ = lm.contexts([w])
         for s in slots:
             np.add.at(counts, (s, bit), k)
-    m = lm.Mixer(counts)
+    m = lm.Speller(counts)
     m.learn(words, np.array([5, 3, 2, 4]), 0.3)
-    first = [bytes([b]) for b in range(256)]
-    slots, bit, node, who = lm.contexts([f for f in first if f.strip()])
-    total = sum(10 ** m.score([f])[0] for f in [b"ab", b"ac", b"b"])
-    assert 0 < total < 1
+    for start in (b"", b"a", b"zz"):
+        total = 0.0
+        for byte in range(256):
+            slots, bit, node, _ = lm.contexts([start + bytes([byte]) if byte != 32 else start + b"\x20"])
+            at = slice(8 * len(start), 8 * len(start) + 8)
+            p = m.chances(slots[:, at], node[at])
+            total += np.prod(np.where(bit[at] == 1, p, 1 - p))
+        assert isclose(total, 1, rel_tol=1e-9)
+
+
+def plain_scores(data, speller):
+    """Scores text by text, with all counts of the other texts taken anew."""
+    words = [[*lm.words_of(t), b""] for _, t in data]
+    train = [not lm.held_out(i) for i, _ in data]
+    code = lambda w: (xxhash.xxh64_intdigest(w) & ((1 << 63) - 1) & 0xFFFFFFFF) | 1
+    bucket = lambda x, edges: sum(x >= e for e in edges)
+    pairs = lambda t: [((t[i - 2] if i > 1 else b"", t[i - 1] if i else b""), t[i]) for i in range(len(t))]
+    hits, known, parts, out = np.zeros((lm.N_HIT, 2)), np.zeros((lm.N_KNOWN, 2)), [], []
+    follow_all, count_all = {}, Counter()
+    for t, k in zip(words, train):
+        if k:
+            count_all.update(t)
+            for c, w in pairs(t):
+                follow_all.setdefault(c, Counter())[code(w)] += 1
+    for t, k in zip(words, train):
+        own, own_count = {}, Counter(t) if k else Counter()
+        for c, w in pairs(t) if k else []:
+            own.setdefault(c, Counter())[code(w)] += 1
+        status, flags, least, states, fixed, plain = [], [], [], [], 0.0, 0
+        run = 0
+        for c, w in pairs(t):
+            best = sorted(follow_all.get(c, Counter()).items(), key=lambda x: (-x[1], x[0]))[:2]
+            total = sum(follow_all.get(c, Counter()).values()) - sum(own.get(c, Counter()).values())
+            left = [(n - own.get(c, Counter())[f], f) for f, n in best]
+            sure, guess = max(left, key=lambda x: x[0], default=(0, 0))
+            n = count_all[w] - own_count[w]
+            at = lambda x, i: x[-i] if len(x) >= i else 0
+            ago = bucket(at(least, 1), [1, 2, 8, 64, 4096])
+            met, hit = sure > 0, sure > 0 and guess == code(w)
+            if met:
+                place = (bucket(run, [1, 2, 3, 4, 8, 16, 32]), bucket(total, [2, 3, 5, 9, 17]), bucket(sure / total, [0.5, 0.75, 1.0]), at(status, 1) * 9 + at(status, 2) * 3 + at(status, 3), ago)
+                states.append((hits, np.ravel_multi_index(place, lm.HITS), int(hit)))
+            if not hit:
+                place = (at(flags, 1) * 4 + at(flags, 2) * 2 + at(flags, 3), int(met), ago, int(run > 0))
+                states.append((known, np.ravel_multi_index(place, lm.KNOWN), int(n > 0)))
+                if n:
+                    fixed += log10(n)
+                    plain += 1
+                else:
+                    fixed += speller.score([w])[0]
+            status.append(2 if hit else int(met))
+            flags.append(int(n > 0))
+            least.append(n)
+            run = run + 1 if hit else 0
+        if k:
+            for h, s, y in states:
+                h[s, y] += 1
+        parts.append((states, fixed, plain, sum(count_all.values()) - (len(t) if k else 0)))
+    a, b = lm.mixed_states(hits, lm.HITS), lm.mixed_states(known, lm.KNOWN)
+    for states, fixed, plain, others in parts:
+        out.append(fixed - plain * log10(max(1, others)) + sum((a if h is hits else b)[s, y] for h, s, y in states))
+    return out
+
+
+def test_scores_equal_a_plain_version_whatever_the_partitions(spark):
+    r = random.Random(4)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 5))) for _ in range(60)]
+    data = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 60)))) for i in range(80)]
+    data += [(200 + i, data[i][1]) for i in range(20)] + [(300, "x" * 3000 + " " + "y z " * 2000), (None, "a b"), (301, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    _, speller = lm.spelling(docs)
+    speller = lm.Speller(np.stack([speller.zero, speller.one], 1).astype(np.float32), speller.weights, speller.hits)
+    want = sorted((str(i), round(s, 6)) for (i, _), s in zip(data, plain_scores(data, speller)))
+    assert sorted((str(x.doc_id), round(x.score, 6)) for x in lm.scored(docs).collect()) == want
+    assert sorted((str(x.doc_id), round(x.score, 6)) for x in lm.scored(docs.repartition(7)).collect()) == want
+
+
+def test_order_and_copies_matter_and_held_out_texts_beat_the_base(spark):
+    r = random.Random(14)
+    vocab = ["".join(r.choice(["an", "re", "th", "on", "el", "mar"]) for _ in range(r.randint(1, 4))) for _ in range(900)]
+    text = lambda: " ".join(r.choice(vocab) for _ in range(80))
+    fluent = [text() for _ in range(30)]
+    data = [(i, f"{r.choice(fluent)} {text()} {r.choice(fluent)}") for i in range(300)]
+    first = next(i for i in range(1000, 2000) if lm.held_out(i))
+    shuffled = fluent[0].split()
+    r.shuffle(shuffled)
+    docs = spark.createDataFrame([*data, (first, fluent[0]), (next(i for i in range(first + 1, 3000) if lm.held_out(i)), " ".join(shuffled))], "doc_id long, text string")
+    got = {x.doc_id: x for x in lm.scored(docs).collect()}
+    held = [x for x in got.values() if x.held_out and x.doc_id < 1000]
+    assert sum(x.score for x in held) > sum(x.base_score for x in held)
+    a, b = (got[k] for k in sorted(got) if k >= 1000)
+    assert a.bits_per_byte < 0.5 * b.bits_per_byte and a.base_score == pytest.approx(b.base_score)
 
 
 # search --------------------------------------------------------------------
