@@ -1,6 +1,9 @@
 import math
+import random
 import re
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from codefacts.llm import mixing, quality
@@ -63,6 +66,55 @@ def test_every_label_certifies_whatever_the_sample(spark):
     assert [r[0] for r in few] == ["en"] and any(c is not None for c in few[0][1])
 
 
+def test_cutoffs_against_a_plain_version(spark):
+    r = random.Random(3)
+    data, labels = [], []
+    for i in range(4000):
+        bad = r.random() < 0.1
+        words = [f"w{r.randrange(5000)}" for _ in range(80)]
+        for _ in range(r.randint(4, 12) if bad and r.random() < 0.8 else int(r.random() < 0.01)):
+            words[r.randrange(80)] = "#|#"
+        data.append((i, " ".join(words), ["en", "de", None][i % 3] if i > 60 else "fr"))
+        labels.append((i, 0 if bad else 1))
+    docs, told = spark.createDataFrame(data, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    fit = {x[0] for x in docs.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4)) == 0).select("doc_id").collect()}
+    rate = {i: [b[2] / b[1], b[3] / len(t.split("\n")), b[4] / b[0], b[1] / b[0]] for i, t, _ in data for b in [brute(t)]}
+    good, want = {i for i, q in labels if q}, {}
+    strata = {}
+    for i, _, lang in data:
+        strata.setdefault(lang, []).append(i)
+    share = lambda ids, cut: sum(any(c is not None and a > c for a, c in zip(rate[i], cut)) for i in ids) / len(ids)
+    steps = {}
+    for lang, ids in strata.items():
+        f = [i for i in ids if i in fit]
+        fine, poor = [i for i in f if i in good], [i for i in f if i not in good]
+        lists = []
+        for j in range(4):
+            one = lambda c, j=j: [c if k == j else None for k in range(4)]
+            points = {float(np.quantile([rate[i][j] for i in fine], q)) for q in quality.CANDIDATES} | {float(np.quantile([rate[i][j] for i in poor], q)) for q in quality.FROM_BAD if poor}
+            lists.append(sorted((c for c in points if poor and share(poor, one(c)) > 0 and share(poor, one(c)) >= quality.LIFT * share(fine, one(c))), reverse=True))
+        if any(lists):
+            steps[lang] = [[x[min(s, len(x) - 1)] if x else None for x in lists] for s in range(max(map(len, lists)))]
+    for lang, cuts in steps.items():
+        held = [i for i in strata[lang] if i not in fit and i in good]
+        poor = [i for i in strata[lang] if i in fit and i not in good]
+        passed = []
+        for c in cuts:
+            n, k = len(held), round(share(held, c) * len(held))
+            if k >= 0.02 * n or sum(math.comb(n, j) * 0.02**j * 0.98 ** (n - j) for j in range(k + 1)) > 0.05 / len(steps):
+                break
+            passed.append((share(poor, c), c))
+        if passed:
+            want[lang] = next(c for b, c in passed if b >= quality.NEARLY * max(passed, key=lambda x: x[0])[0])
+    got = {x.stratum: x.cut for x in quality.cutoffs(docs, told).collect()}
+    assert set(got) == set(want) and len(want) >= 2
+    for lang in want:
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-9)) for a, b in zip(got[lang], want[lang]))
+    kept = {x[0]: x[1] for x in quality.judged(docs, told, "doc_id").select("kept.doc_id", "kept_by_rules").collect()}
+    assert all(kept[i] == (not any(c is not None and a > c for a, c in zip(rate[i], want.get(lang, [None] * 4)))) for i, _, lang in data)
+    assert sum(not kept[i] for i in kept if i not in good) > 200
+
+
 def test_no_cutoff_without_enough_labels(spark, weird):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (999, 0), (4, None)], "doc_id long, quality int")
     assert rows(quality.cutoffs(weird, labels)) == []
