@@ -10,16 +10,19 @@ uses, and it is tested
 * by a runs test of characters above and below the alphabet's middle;
 * by the serial correlation of neighbouring characters.
 
-A candidate is random if none of the three rejects randomness at ``ALPHA``
-(Bonferroni).  Short runs pass such tests for want of power, so a discovery also
-needs evidence against ordinary writing: the likelihood ratio of writing, which
-keeps to a class of characters (small, capital, digit, sign) for a while and
-uses letters as texts do, to uniform draws from the inferred alphabet.  Under
-writing the chance of a ratio that low is at most the ratio itself (Markov's
-inequality), times the number of alphabets to choose from.  These chances enter
-a Benjamini-Hochberg control at ``FDR`` over all documents, in strata of length,
-from a histogram of fixed size, so short strings need stronger evidence by
-themselves and do not borrow from long ones.
+The three chances are combined by the Cauchy combination into one chance p that
+random draws look no more even than the run.  Short runs pass such tests for
+want of power, so the hypothesis to reject is ordinary writing, which keeps to a
+class of characters (small, capital, digit, sign) for a while and uses letters
+as texts do.  The likelihood ratio of uniform draws to writing, times p, has a
+mean of at most one under writing (p's mean under uniform draws is below one),
+so by Markov's inequality the chance of so much evidence is at most its inverse,
+times the number of alphabets to choose from.  A run that the battery rejects has
+a small p and so needs as much more evidence; one with a chance below 1e-15 is none.
+
+These chances enter a Benjamini-Hochberg control at ``FDR`` over all documents,
+in strata of length, from a histogram of fixed size, so short strings need
+stronger evidence by themselves and do not borrow from long ones.
 
 Defined cases: null text is empty; repeated rows give repeated results; offsets
 are code points, ends exclusive; other columns are ignored, or carried in a
@@ -43,11 +46,12 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-FEWEST = 20
+#: Runs below this length can hardly hold the evidence that the control asks for: 12 random characters have some 70 bits, prose words of that length about as many.
+FEWEST = 12
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % FEWEST)
-ALPHA, FDR = 0.01, 0.01
+FDR = 0.01
 #: First lengths of the strata.
-STRATA = (20, 24, 32, 48, 64, 128)
+STRATA = (12, 16, 20, 24, 32, 48, 64, 128)
 #: Chances are counted in bins of a quarter of a power of ten.
 BINS, STEP = 80, 4
 #: Shares of letters in texts, in thousandths, a to z; a tenth of the mass is spread evenly, for other languages and names.
@@ -57,6 +61,8 @@ LETTER_BITS = {chr(97 + i): -math.log2(0.9 * x / sum(LETTERS) + 0.1 / 26) for i,
 CHANGE = 0.1
 #: Alphabets that ``encoding`` chooses from.
 ALPHABETS = 12
+#: Evidence of fewer bits lies in the lowest bin, which the control never lets through: its chance times all tested exceeds any share of them.
+LEAST_BITS = 0.5
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -110,35 +116,40 @@ def _poisson(u: int, mean: float) -> float:
     return min(1.0, total)
 
 
+def _kind(c: str) -> str:
+    return "d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "+"
+
+
+#: Class and bits of every key character as writing.
+WRITTEN = {c: (_kind(c), math.log2(10) if _kind(c) == "d" else 2.0 if _kind(c) == "+" else LETTER_BITS[c.lower()]) for c in map(chr, range(33, 127))}
+STAY, MOVE = -math.log2(1 - CHANGE), -math.log2(CHANGE / 3)
+
+
 def writing_bits(s: str) -> float:
     """Bits that a run takes as ordinary writing; its first class costs nothing, which favours writing."""
     bits, before = 0.0, None
-    stay, change = -math.log2(1 - CHANGE), -math.log2(CHANGE / 3)
-    for c in s:
-        now = "d" if "0" <= c <= "9" else "l" if "a" <= c <= "z" else "u" if "A" <= c <= "Z" else "+"
-        bits += 0.0 if before is None else stay if now == before else change
-        bits += math.log2(10) if now == "d" else 2.0 if now == "+" else LETTER_BITS[c.lower()]
+    for now, more in map(WRITTEN.__getitem__, s):
+        bits += more if before is None else more + (STAY if now == before else MOVE)
         before = now
     return bits
 
 
-def battery(s: str) -> tuple[float, float] | None:
-    """(chance under randomness, chance under ordinary writing) of a run, or none where no encoding fits."""
-    found = encoding(s)
-    s = s.rstrip("=")
-    n = len(s)
-    if not found or n < FEWEST:
-        return None
-    alphabet, _ = found
-    k = len(alphabet)
+def cauchy(chances: list[float]) -> float:
+    """One chance from several that may depend on each other."""
+    t = sum(math.tan((0.5 - min(1 - 1e-12, max(1e-300, p))) * math.pi) if p > 1e-9 else 1 / (max(p, 1e-300) * math.pi) for p in chances) / len(chances)
+    return 0.5 - math.atan(t) / math.pi if t < 1e6 else 1 / (t * math.pi)
+
+
+def battery(s: str, alphabet: str) -> tuple[float, float, float]:
+    """Chances that random draws from the alphabet have as many equal pairs, as odd a number of runs, as strong a correlation of neighbours."""
+    n, k = len(s), len(alphabet)
     place = {c: i for i, c in enumerate(alphabet)}
     v = [place.get(c, 0) for c in s]
     counts: dict[int, int] = {}
     for x in v:
         counts[x] = counts.get(x, 0) + 1
     pairs = sum(c * (c - 1) // 2 for c in counts.values())
-    all_pairs = n * (n - 1) / 2
-    uniform = 1 - _poisson(pairs - 1, all_pairs / k)
+    uniform = 1 - _poisson(pairs - 1, n * (n - 1) / 2 / k)
     above = [x >= k / 2 for x in v]
     a = sum(above)
     b = n - a
@@ -152,20 +163,33 @@ def battery(s: str) -> tuple[float, float] | None:
     m = sum(v) / n
     spread = sum((x - m) ** 2 for x in v)
     serial = 2 * _normal(-abs(sum((x - m) * (y - m) for x, y in zip(v, v[1:])) / spread + 1 / n) * math.sqrt(n)) if spread else 0.0
-    writing = min(1.0, ALPHABETS * 2.0 ** (n * math.log2(k) - writing_bits(s)))
-    return min(1.0, 3 * min(uniform, in_runs, serial)), writing
+    return uniform, in_runs, serial
+
+
+def chance(s: str) -> float:
+    """The chance, at most, of as much evidence for random draws if a run is ordinary writing; one where no encoding fits."""
+    found = encoding(s)
+    s = s.rstrip("=")
+    if not found or len(s) < FEWEST:
+        return 1.0
+    bits = writing_bits(s) - len(s) * math.log2(len(found[0])) - math.log2(ALPHABETS)
+    if bits <= LEAST_BITS:
+        return 1.0  # p is at most one, so the battery could not lift it above
+    tests = battery(s, found[0])
+    if min(tests) < 1e-15:
+        return 1.0  # as far as double precision goes, no draw from the alphabet looks like this
+    return min(1.0, 2.0 ** -min(1000.0, bits) / cauchy(list(tests)))
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, stratum, bin) of the runs that look random and touch no base span; the higher the bin, the less like writing."""
+    """(start, end, stratum, bin) of the runs that touch no base span and may be less than writing; the higher the bin, the less like it."""
     out = []
     for m in RUN.finditer(text):
         s, e = m.span()
         if any(a < e and s < b for a, b, _ in base):
             continue
-        if (p := battery(m[0])) and p[0] >= ALPHA:
-            stratum = sum(e - s >= x for x in STRATA) - 1
-            out.append((s, e, stratum, min(BINS - 1, int(-math.log10(max(p[1], 1e-300)) * STEP))))
+        if bin_ := min(BINS - 1, int(-math.log10(max(chance(m[0]), 1e-300)) * STEP)):
+            out.append((s, e, sum(e - s >= x for x in STRATA) - 1, bin_))
     return out
 
 

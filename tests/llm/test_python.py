@@ -169,6 +169,38 @@ def test_few_short_keys_among_many_long_words_are_found(spark):
     assert sum(found[i] for i in range(400)) <= 2
 
 
+def test_chances_of_the_battery_are_even_for_random_runs():
+    r = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (16, 24, 40, 80):
+        p = [secrets.cauchy(list(secrets.battery("".join(r.choice(alphabet) for _ in range(n)), alphabet))) for _ in range(1500)]
+        assert np.mean(p) < 1 and np.mean(np.array(p) < 0.05) < 0.09, n
+    assert secrets.cauchy([0.3, 0.3, 0.3]) == pytest.approx(0.3) and secrets.cauchy([1e-12, 0.5, 0.5]) == pytest.approx(3e-12, rel=1e-3)
+    assert secrets.chance("AbAbAbAbAbAbAbAbAbAbAbAb") > 1e6 * secrets.chance("".join(r.choice(alphabet) for _ in range(24)))
+
+
+def test_false_discoveries_are_controlled_at_every_length(spark):
+    """Keys of 12 to 64 characters among generated writing: few lost where long, at most the level's share wrong."""
+    r = random.Random(33)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    parts = ["inter", "national", "Handler", "factory", "wort", "schaft", "ungen", "Manager", "element", "config", "station", "donau", "Request", "2024", "v2"]
+    write = lambda: "".join(r.choice(parts) for _ in range(r.randint(2, 9)))
+    sizes = [12, 16, 20, 24, 32, 48, 64]
+    docs = [(i, " ".join(write() for _ in range(30))) for i in range(400)]
+    docs += [(1000 + i, "key " + "".join(r.choice(alphabet) for _ in range(sizes[i % 7])) + " end") for i in range(210)]
+    found = {x.kept: len(x.found) for x in secrets.secrets(spark.createDataFrame(docs, "doc_id long, text string"), F.col("doc_id")).collect()}
+    right, wrong = sum(found[1000 + i] == 1 for i in range(210)), sum(found[i] for i in range(400))
+    assert wrong <= 0.03 * (right + wrong)
+    assert all(sum(found[1000 + i] == 1 for i in range(210) if sizes[i % 7] == n) >= 26 for n in sizes[2:])
+
+
+def test_secrets_in_very_long_texts(spark):
+    key = "q7Zr0pVbX3mKd9TtL2yWc8NfHs5G"
+    text = "word and more " * 60000 + key + " " + "x" * 200000 + " " + "-" * 100000
+    got = secrets.secrets(spark.createDataFrame([(1, text), (2, key), (3, key + " " + key)], "doc_id long, text string"), F.col("doc_id")).collect()
+    assert {x.kept: len(x.found) for x in got} == {1: 1, 2: 1, 3: 2}
+
+
 # personal data -------------------------------------------------------------
 
 
