@@ -12,11 +12,15 @@ A span counts only if it is ``plausible``, which needs digits, or an at sign or
 "at" with a dot or "dot" after it.  Windows on such places, over all that a
 plausible address can reach around them (``reaches``), are computed; in the
 others no span can pass that test.
-Windows are decoded together, and each character takes the label of the window
-in whose middle it lies farthest from an edge, which gives one label sequence
-for the whole text, from which spans are read.  A span of the model must still
-look like its kind (number of digits, Luhn's test, address parts) and is dropped
-where it touches a base span.
+Windows that overlap are reconciled as one stretch: each character's scores are
+the mean over its windows, weighted by its distance from their edges, and one
+search for the best label sequence goes over the whole stretch, so the CRF's
+transitions hold across window borders too.  A span of the model must still
+look like its kind (number of digits, Luhn's test, address parts, ``LONGEST``)
+and is dropped where it touches a base span.
+
+The labelled sample is bounded by ``SAMPLE`` documents, by hash of their id, at
+most eight windows of each, ``WINDOWS`` in all; it only fits the model.
 
 Defined cases: null text is empty; repeated rows give repeated results; offsets
 are code points, ends exclusive; other columns are ignored; without documents to
@@ -42,6 +46,9 @@ EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The same matches in time proportional to the text: an address is looked for around each at sign, and a run of digits is tried from its beginning only.
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP_RUN = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 DIGIT = re.compile("[0-9]")
 TRIGGER = re.compile("[0-9@]")
 #: What every plausible address holds: its at sign, spelled or not, one more part and a dot, spelled or not.
@@ -49,9 +56,10 @@ CORE = re.compile(r"(?=(?:@|at|AT)[\])]?\s?[A-Za-z0-9-]+\s?[\[(]?(?:\.|dot|DOT)[
 #: From there as far as an address can go on.
 WAY = re.compile(r"(?:@|at|AT)[\])]?\s?[A-Za-z0-9-]*(?:(?:(?<=dot)|(?<=DOT)|\s?[\[(]?(?:\.|dot|DOT))[\])]?\s?[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-BLANKS = re.compile(r"[\x20\x09-\x0D]")
+#: Longest spans of the model that can be of their kind.
+LONGEST = {"email": 254, "ip": 40, "card": 60, "phone": 40}
 WIDTH, HOP = 64, 32
-SAMPLE, WINDOWS, MADE = 1500, 1500, 1200
+SAMPLE, WINDOWS, MADE = 1500, 1500, 4000
 TAGS = 1 + 2 * len(KINDS)
 
 
@@ -70,18 +78,17 @@ def only_digits(s: str) -> str:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by the fixed patterns, by kind as listed, then start."""
     out: list[tuple[int, int, str]] = []
-    if "@" in text:
-        at, done = text.find("@"), 0
-        while at >= 0:
-            # a match lies within the run between blanks, which the pattern cannot cross
-            if at >= done:
-                start = max(done, *(text.rfind(c, 0, at) + 1 for c in " \t\n\v\f\r"))
-                stop = m.start() if (m := BLANKS.search(text, at)) else len(text)
-                out += [(m.start(), m.end(), "email") for m in EMAIL.finditer(text, start, stop)]
-                done = stop
-            at = text.find("@", max(at + 1, done))
+    at = done = 0
+    while (at := text.find("@", at)) >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := DOMAIN.match(text, at + 1)):
+            out.append((start, m.end(), "email"))
+            done = m.end()
+        at = done = max(at + 1, done)
     if DIGIT.search(text):
-        out += [(m.start(), m.end(), "ip") for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+        out += [(m.start(), m.end(), "ip") for m in IP_RUN.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         out += [(m.start(), m.end(), "card") for m in CARD.finditer(text) if 16 <= len(d := only_digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [(m.start(), m.end(), "phone") for m in PHONE.finditer(text) if 8 <= len(only_digits(m[0])) <= 15]
@@ -90,6 +97,8 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 def plausible(kind: str, s: str) -> bool:
     """Whether a span of the model can be of its kind."""
+    if len(s) > LONGEST[kind]:
+        return False
     d = only_digits(s)
     if kind == "email":
         return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+\s?[\[(]?(@|at|AT)[\])]?\s?[A-Za-z0-9-]+(\s?[\[(]?(\.|dot|DOT)[\])]?\s?[A-Za-z0-9-]+)+", s))
@@ -126,15 +135,22 @@ def window_starts(text: str) -> list[int]:
     return sorted({max(0, w) * HOP for w in blocks})
 
 
+def _word(rng: random.Random) -> str:
+    """A pronounceable word of any letters, or of common syllables."""
+    if rng.random() < 0.3:
+        return "".join(rng.choice(["an", "re", "th", "on", "is", "el", "mar", "jo", "li", "son"]) for _ in range(rng.randint(1, 3)))
+    return "".join(rng.choice("bcdfghjklmnpqrstvwxyz") + rng.choice("aeiouy") + rng.choice(["", "", rng.choice("nrslt")]) for _ in range(rng.randint(1, 4)))
+
+
 def _generated(rng: random.Random) -> tuple[str, str, str]:
     """(piece, kind or empty, sort of form): forms of personal data that the patterns miss or find, and numbers that are none."""
-    word = lambda: "".join(rng.choice(["an", "re", "th", "on", "is", "el", "mar", "jo", "li", "son"]) for _ in range(rng.randint(1, 3)))
+    word = lambda: _word(rng)
     num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
     sort = rng.randrange(12)
     if sort < 3:
-        at, dot = rng.choice([("@", "."), (" [at] ", " [dot] "), ("(at)", "."), (" @ ", "."), ("[at]", "[dot]")])
+        at, dot = rng.choice([("@", "."), (" [at] ", " [dot] "), (" [at] ", " [dot] "), ("(at)", "."), ("(at)", "(dot)"), (" @ ", "."), ("[at]", "[dot]"), ("[at]", ".")])
         tail = lambda n: num(rng.randint(1, n)) if rng.random() < 0.5 else ""
-        return f"{word()}{rng.choice(['.' + word(), '', '_' + word()])}{tail(2)}{at}{word()}{tail(1)}{dot}{rng.choice(['com', 'org', 'net', 'example' + dot + 'com'])}", "email", "e"
+        return f"{word()}{rng.choice(['.' + word(), '', '_' + word()])}{tail(2)}{at}{word()}{tail(1)}{dot}{rng.choice(['com', 'org', 'net', 'example' + dot + 'com', ''.join(rng.choice('abcdefghiklmnoprstu') for _ in range(rng.randint(2, 4)))])}", "email", "e"
     if sort < 5:
         dot = rng.choice([".", ".", "[.]", "(dot)"])
         return dot.join(str(rng.randrange(256)) for _ in range(4)), "ip", "i"
@@ -157,7 +173,8 @@ def made_windows(n: int, seed: int = 5) -> list[tuple[str, list[tuple[int, int,
     for _ in range(n):
         text, spans = "", []
         while len(text) < WIDTH:
-            text += " ".join("".join(rng.choice("etaoinshrdluéñ") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 4))) + rng.choice([" ", " ", ". ", ": "])
+            plain = lambda: _word(rng) if rng.random() < 0.5 else "".join(rng.choice("etaoinshrdluéñ") for _ in range(rng.randint(1, 9)))
+            text += " ".join(plain() for _ in range(rng.randint(1, 6))) + rng.choice([" ", " ", ". ", ": "])
             piece, kind, _ = _generated(rng)
             if kind:
                 spans.append((len(text), len(text) + len(piece), kind))
@@ -187,7 +204,7 @@ def allowed() -> np.ndarray:
     return ok
 
 
-def trained(windows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 5) -> Tagger:
+def trained(windows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int = 6) -> Tagger:
     x, y = np.full((len(windows), WIDTH), PAD), np.zeros((len(windows), WIDTH), np.int64)
     for i, (text, spans) in enumerate(windows):
         ids = char_ids(text)
@@ -200,7 +217,7 @@ def trained(windows: list[tuple[str, list[tuple[int, int, str]]]], epochs: int =
 def sampled(docs: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Windows with rule-labelled spans from a bounded sample of documents, the same at every run."""
     share = min(1.0, sample / max(1, docs.count()))
-    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("o"), F.col("text").cast("string").alias("text")).where(F.pmod("o", F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("o"), F.col("text").cast("string").alias("text")).where(F.pmod("o", F.lit(1 << 62)) < F.lit(int(share * (1 << 62))))
 
     def run(batches):
         for b in batches:
@@ -218,50 +235,65 @@ def sampled(docs: DataFrame, sample: int = SAMPLE, most: int = WINDOWS) -> list[
     return [(r["window"], [(s, e, KINDS[k]) for s, e, k in zip(r["spans"][::3], r["spans"][1::3], r["spans"][2::3])]) for r in found]
 
 
-def model_spans(model: Tagger, texts: list[str], bases: list[list[tuple[int, int, str]]], batch: int = 2048) -> list[list[tuple[int, int, str]]]:
-    """The model's spans of whole texts, by kind as listed, then start; spans that touch a base span are dropped."""
-    places = []
-    for i, text in enumerate(texts):
-        places += [(i, s) for s in window_starts(text)]
-    ok = allowed()
-    sequences: dict[int, tuple[list[int], list[np.ndarray]]] = {}
-    for at in range(0, len(places), batch):
-        part = places[at : at + batch]
+def stretches(text: str) -> list[list[int]]:
+    """Starts of windows that follow each other without a gap."""
+    out: list[list[int]] = []
+    for s in window_starts(text):
+        if out and s <= out[-1][-1] + HOP:
+            out[-1].append(s)
+        else:
+            out.append([s])
+    return out
+
+
+def stretch_labels(model: Tagger, texts: list[str], places: list[tuple[int, list[int]]], ok: np.ndarray, batch: int = 2048) -> list[np.ndarray]:
+    """Best labels of stretches (text, starts of their windows): one search over each stretch's joined scores."""
+    windows = [(p, i, s) for p, (i, starts) in enumerate(places) for s in starts]
+    sizes = np.array([min(len(texts[i]), starts[-1] + WIDTH) - starts[0] for i, starts in places], np.int64)
+    offsets = np.cumsum(sizes) - sizes
+    scores, mass = np.zeros((int(sizes.sum()), TAGS), np.float32), np.zeros(int(sizes.sum()), np.float32)
+    edge = (np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1]) + 1).astype(np.float32)
+    for at in range(0, len(windows), batch):
+        part = windows[at : at + batch]
         x = np.full((len(part), WIDTH), PAD)
-        for r, (i, s) in enumerate(part):
+        for r, (_, i, s) in enumerate(part):
             ids = char_ids(texts[i][s : s + WIDTH])
             x[r, : len(ids)] = ids
-        y = model.decode(x.T, ok).T
-        for r, (i, s) in enumerate(part):
-            held = sequences.setdefault(i, ([], []))
-            held[0].append(s)
-            held[1].append(y[r])
-    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    for i, (starts, found) in sequences.items():
-        whole: dict[int, int] = {}
-        depth: dict[int, int] = {}
-        edge = np.minimum(np.arange(WIDTH), np.arange(WIDTH)[::-1]).tolist()
-        for s, y in zip(starts, found):
-            first = s == 0
-            for j, tag in enumerate(y.tolist()):
-                d = WIDTH if first and j < HOP // 2 else edge[j]
-                if d > depth.get(s + j, -1):
-                    depth[s + j], whole[s + j] = d, tag
-        text, spans, open_at, kind = texts[i], [], -1, -1
-        for p in [*sorted(p for p, t in whole.items() if t and p < len(text)), -1]:
-            tag = whole.get(p, 0)
-            k = (tag - 1) // 2 if tag else -1
-            if open_at >= 0 and (p != last + 1 or k != kind or tag % 2 == 1):
-                spans.append((open_at, last + 1, KINDS[kind]))
-                open_at = -1
-            if p >= 0 and open_at < 0:
-                open_at, kind = p, k
-            last = p
-        keep = [(s, e, k) for s, e, k in spans if plausible(k, text[s:e]) and not text[max(0, s - 1) : s].isalnum() and not text[e : e + 1].isalnum() and not any(a < e and s < b for a, b, _ in bases[i])]
-        out[i] = sorted(keep, key=lambda x: (KINDS.index(x[2]), x[0]))
+        em = model.emissions(x.T).transpose(1, 0, 2)
+        for r, (p, i, s) in enumerate(part):
+            start, n = offsets[p] + s - places[p][1][0], min(WIDTH, len(texts[i]) - s)
+            scores[start : start + n] += em[r, :n] * edge[:n, None]
+            mass[start : start + n] += edge[:n]
+    scores /= mass[:, None]
+    out: list[np.ndarray] = [np.empty(0, np.int8)] * len(places)
+    order = np.argsort(sizes, kind="stable")
+    for at in range(0, len(order), batch):
+        part = order[at : at + batch]
+        for size in np.unique(sizes[part]):
+            same = part[sizes[part] == size]
+            best = model.best(np.stack([scores[offsets[p] : offsets[p] + size] for p in same], 1), ok)
+            for c, p in enumerate(same):
+                out[p] = best[:, c]
     return out
 
 
+def model_spans(model: Tagger, texts: list[str], bases: list[list[tuple[int, int, str]]]) -> list[list[tuple[int, int, str]]]:
+    """The model's spans of whole texts, by kind as listed, then start; spans that touch a base span are dropped."""
+    places = [(i, starts) for i, text in enumerate(texts) for starts in stretches(text)]
+    out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+    for (i, starts), tags in zip(places, stretch_labels(model, texts, places, allowed())):
+        text, first = texts[i], starts[0]
+        begins = np.flatnonzero(tags % 2 == 1)
+        outside = np.flatnonzero(np.r_[tags % 2 == 1, True] | np.r_[tags == 0, True])
+        for s in begins.tolist():
+            e = int(outside[np.searchsorted(outside, s, side="right")])
+            span, kind = (first + s, first + e), KINDS[(int(tags[s]) - 1) // 2]
+            a, b = span
+            if plausible(kind, text[a:b]) and not text[max(0, a - 1) : a].isalnum() and not text[b : b + 1].isalnum() and not any(x < b and a < y for x, y, _ in bases[i]):
+                out[i].append((a, b, kind))
+    return [sorted(x, key=lambda x: (KINDS.index(x[2]), x[0])) for x in out]
+
+
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, e, k in spans)
 
@@ -270,15 +302,17 @@ def personal(docs: DataFrame, model: Tagger | None = None) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_model) for every row."""
     if model is None:
         model = trained(sampled(docs) + made_windows(MADE))
-    tagger = docs.sparkSession.sparkContext.broadcast(model)  # some thousand weights
+    weights = docs.sparkSession.sparkContext.broadcast(model.w)  # some thousand numbers; a broadcast object would need this package where it is read
 
     def run(batches):
+        tagger = Tagger(TAGS)
+        tagger.w = weights.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 bases = [base_spans(t) for t in texts]
-                more = model_spans(tagger.value, texts, bases)
+                more = model_spans(tagger, texts, bases)
                 order = lambda s: (KINDS.index(s[2]), s[0])
                 counts = [[sum(k == kind for _, _, k in x) for x in bases] for kind in KINDS]
                 yield pa.RecordBatch.from_arrays(

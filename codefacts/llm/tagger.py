@@ -140,21 +140,20 @@ class Tagger:
             losses.append(float(np.mean(seen)))
         return losses
 
-    def decode(self, x: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-        """Best labels [T, B] of windows x [T, B] among transitions that are allowed."""
-        em = self.emissions(x)
+    def best(self, em: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+        """Best labels [T, B] by scores [T, B, tags] and the transitions that are allowed."""
         A = np.where(allowed, self.w["A"], -1e4).astype(np.float32)
         first = np.where(allowed[0], self.w["a0"], -1e4)
         score = em[0] + first
         back = np.empty(em.shape, np.int8)
-        for t in range(1, len(x)):
+        for t in range(1, len(em)):
             step = score[:, :, None] + A
             back[t] = step.argmax(1)
             score = step.max(1) + em[t]
-        out = np.empty(x.shape, np.int8)
+        out = np.empty(em.shape[:2], np.int8)
         out[-1] = score.argmax(1)
-        rows = np.arange(x.shape[1])
-        for t in range(len(x) - 1, 0, -1):
+        rows = np.arange(em.shape[1])
+        for t in range(len(em) - 1, 0, -1):
             out[t - 1] = back[t, rows, out[t]]
         return out
 
