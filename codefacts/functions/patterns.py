@@ -30,8 +30,6 @@ WEAKENER = (
     r"(?i)expect\s*\(\s*true\s*\)",
 )
 COMPARES = r"(==|!=|<=|>=|<|>|\bin\b|\bis\b|\.raises|approx)"
-#: A string literal, written without back references so that RE2 takes it as well.
-LITERAL = r"""'(\\.|[^'\\])*'|"(\\.|[^"\\])*\""""
 
 # How frames of each runtime's own library begin or what they contain.
 LIBRARY = {

@@ -273,6 +273,30 @@ def language_of(path: Column | str) -> Column:
     return F.when(~p.endswith(".d.ts"), out)
 
 
+def is_test_path(path: Column | str) -> Column:
+    """FX26: by the conventions of the path's language: a folder of tests on the way, or a stem that ends or begins like a test's."""
+    p = F.regexp_replace(_c(path), r"\\", "/")
+    parts = F.split(p, "/")
+    stem = F.regexp_replace(F.element_at(parts, -1), r"\.[^.]*$", "")
+    above = F.transform(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.lower(x))
+    lang, out = language_of(p), F.lit(False)
+    for name, _, suffixes, dirs, _ in P.LANGUAGES:
+        one = F.arrays_overlap(above, F.array(*map(F.lit, dirs))) | _any(stem.endswith(s) for s in suffixes) | (stem.startswith("test_") if name == "python" else F.lit(False))
+        out = F.when(lang == name, one).otherwise(out)
+    return out
+
+
+def chain_head(chain: Column | str, depth: int = 3) -> Column:
+    """SF31: the first links of an exception's chain."""
+    return F.slice(_c(chain), 1, depth)
+
+
+def inner_frames(frames: Column | str, keep: int = 20) -> Column:
+    """XT43: the innermost frames; frames end with the innermost."""
+    f = _c(frames)
+    return F.slice(f, F.greatest(F.size(f) - keep + 1, F.lit(1)), keep)
+
+
 def panic_type(message: Column | str, table: tuple[tuple[str, str], ...], default: str = "panic") -> Column:
     """SF41: the first needle that the message contains names its type."""
     low, out = F.lower(F.coalesce(_c(message), F.lit(""))), F.lit(default)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codefacts.operators.resolve import to_internal
+
 PRESENCE, CHRONOLOGY = 600, 3600
 
 
@@ -54,11 +56,41 @@ def chronology(events: DataFrame, window: int | None = CHRONOLOGY, most: int | N
 
 def propagation(each: DataFrame) -> DataFrame:
     """WN4: (src, dst, node, ts_src, ts_dst): for each pair of agents and node, the first event of one and the first later one of the other."""
-    first = each.groupBy("node", "agent").agg(F.min("ts").alias("ts_src"))
+    first = each.groupBy("node", "agent").agg(F.min("ts").alias("ts_src"))  # an agent's later events there are no first ones
     a, b = first.withColumnRenamed("agent", "src"), each.select("node", F.col("agent").alias("dst"), F.col("ts").alias("ts_dst")).distinct()
     return a.join(b, "node").where("src != dst and ts_dst > ts_src").groupBy("src", "dst", "node").agg(F.min("ts_src").alias("ts_src"), F.min("ts_dst").alias("ts_dst"))
 
 
+def inherited(each: DataFrame, ancestry: DataFrame) -> DataFrame:
+    """CH14: propagations with ``inherited``: whether the later agent's history holds the commit of the earlier one.
+
+    ``each``: ts, agent, id, node, kind; ``ancestry``: agent, sha, the commits that
+    each line of work descends from.  Two agents who touch a node one after the
+    other only met there if the second has the first one's commit; an edit that
+    was never committed cannot be inherited, which gives null.
+    """
+    found = propagation(each)
+    first = each.groupBy(F.col("node"), F.col("agent").alias("src")).agg(F.min(F.struct("ts", F.when(F.col("kind") == "commit", F.col("id")).alias("sha")))["sha"].alias("sha"))
+    seen = ancestry.select(F.col("agent").alias("dst"), "sha").distinct().withColumn("_has", F.lit(True))
+    rows = found.join(first, ["node", "src"], "left").join(seen, ["dst", "sha"], "left")
+    return rows.select("src", "dst", "node", "ts_src", "ts_dst", F.when(F.col("sha").isNotNull(), F.coalesce("_has", F.lit(False))).alias("inherited"))
+
+
+def has_work(hunks: DataFrame, untracked: DataFrame, noise: tuple[str, ...] = ("conftest.py",)) -> DataFrame:
+    """XT20: (branch, work): a diff, or an untracked Python file that is no noise.  ``hunks``: branch; ``untracked``: branch, path."""
+    new = untracked.where(F.col("path").endswith(".py") & ~F.element_at(F.split("path", "/"), -1).isin(*noise))
+    any_ = hunks.select("branch").unionByName(new.select("branch")).distinct().withColumn("work", F.lit(True))
+    every = hunks.select("branch").unionByName(untracked.select("branch")).distinct()
+    return every.join(any_, "branch", "left").select("branch", F.coalesce("work", F.lit(False)).alias("work"))
+
+
+def newborn_links(imports: DataFrame, born: DataFrame, modules: DataFrame) -> DataFrame:
+    """CH12: (src, dst) imports (module, target) of modules being born to known ones or to each other."""
+    every = modules.select("module").unionByName(born.select("module")).distinct()
+    raw = imports.join(born.select("module").distinct(), "module", "left_semi").select(F.col("module").alias("src"), "target")
+    return to_internal(raw, every).where("module is not null and module != src").select("src", F.col("module").alias("dst")).distinct()
+
+
 def commits_missing(theirs: DataFrame, mine: DataFrame) -> DataFrame:
     """ST9: their commits (sha) that are not among mine."""
     return theirs.join(mine.select("sha").distinct(), "sha", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codefacts.functions import patterns as P
-from codefacts.functions.scalars import breaks_calls, compares, is_test_file, language_of, matches, nullable
+from codefacts.functions.scalars import breaks_calls, compares, is_test_file, language_of, matches, module_of, nullable
 
 
 def lines_of(diffs: DataFrame) -> DataFrame:
@@ -163,6 +163,22 @@ def fact_delta(now: DataFrame, before: DataFrame, growth: int = GROWTH) -> DataF
     return out.unionByName(gone).unionByName(grown).unionByName(loose)
 
 
+def grown(delta: DataFrame) -> DataFrame:
+    """TK6: bodies that grew, most first."""
+    return delta.where("category = 'cuerpo-crecido'").select("path", "name", F.col("text").cast("int").alias("by")).orderBy(F.desc("by"), "path", "name")
+
+
+def touched_modules(status: DataFrame, modules: DataFrame) -> DataFrame:
+    """XT12, XT26: modules of the Python files that a status (path) lists, untracked ones included, as far as the graph knows them."""
+    own = status.where(F.col("path").endswith(".py")).select(module_of("path").alias("module")).distinct()
+    return own.join(modules.select("module").distinct(), "module", "left_semi")
+
+
+def base_symbols(symbols: DataFrame, paths: DataFrame) -> DataFrame:
+    """XT27: symbols (qual, file) that a former state had in some files."""
+    return symbols.join(paths.select(F.col("path").alias("file")).distinct(), "file", "left_semi").select("qual", "file")
+
+
 def signature_changes(now: DataFrame, before: DataFrame, limit: int = 20) -> DataFrame:
     """CH13, XT24: (qual, old, new, sort) of a full outer comparison, in order, cut at ``limit``."""
     rows = now.select("qual", F.col("sig").alias("new")).join(before.select("qual", F.col("sig").alias("old")), "qual", "full_outer").where(~F.col("new").eqNullSafe(F.col("old")))

@@ -54,6 +54,37 @@ def test_command(listing: DataFrame, table: tuple = TOOLCHAINS) -> DataFrame:
     return t.join(listing.select("path").distinct(), "path", "left_semi").agg(F.min_by("command", "priority").alias("command"))
 
 
+def runner(files: DataFrame, listing: DataFrame) -> DataFrame:
+    """XT22: the command for a list of test files: pytest where all are Python, else that of the toolchain."""
+    python = files.agg(F.coalesce(F.every(F.col("path").endswith(".py")), F.lit(False)).alias("python"))
+    return python.join(test_command(listing), how="cross").select(F.when(F.col("python"), "python -m pytest").otherwise(F.col("command")).alias("command"))
+
+
+def first_marker(listing: DataFrame, table: DataFrame) -> DataFrame:
+    """XT16: (dir, lang): the language of the first marker (marker, ord, lang) that a folder (dir, name) holds."""
+    return listing.join(table, F.col("name") == F.col("marker")).groupBy("dir").agg(F.min_by("lang", "ord").alias("lang"))
+
+
+def conventions(table: DataFrame) -> DataFrame:
+    """XT5: (sort, value) of all languages' suffixes and folders of tests (lang, suffixes, dirs)."""
+    return table.select(F.lit("suffix").alias("sort"), F.explode("suffixes").alias("value")).unionByName(table.select(F.lit("dir").alias("sort"), F.explode("dirs").alias("value"))).distinct()
+
+
+def cascade(selected: DataFrame, expected: DataFrame) -> DataFrame:
+    """XT35: (case, ok): as many files selected as expected; running everything passes where no licence to narrow is given."""
+    n = selected.groupBy("case").agg(F.count_distinct("file").alias("n"))
+    rows = expected.join(n, "case", "left")
+    return rows.select("case", ((F.coalesce("n", F.lit(0)) == F.col("size")) | (F.col("run_all") & ~F.col("licensed"))).alias("ok"))
+
+
+def expected_verdict(runs: DataFrame) -> DataFrame:
+    """XT29: (case, verdict): what the steps (array) behind the last ``final`` mark of a recorded run say; the worst of them."""
+    back = F.reverse("steps")
+    after = F.slice("steps", F.size("steps") - F.array_position(back, "final").cast("int") + 2, F.size("steps"))
+    said = F.when(F.array_position(back, "final") > 0, after).otherwise(F.col("steps"))
+    return runs.select("case", F.when(F.array_contains(said, "rojo"), "rechazar").when(F.array_contains(said, "duda"), "escalar").when(F.array_contains(said, "verde"), "aceptar").otherwise("sin-objeciones").alias("verdict"))
+
+
 def gates(listing: DataFrame) -> DataFrame:
     """CH21: decision records and gates that are there."""
     kind = F.when(F.col("path").rlike(r"(^|/)adr/\d+.*\.md$"), "adr").when(F.col("path").rlike(r"(^|/)(\.pre-commit-config\.yaml|\.husky/|hooks/pre-commit$)"), "gate").when(F.col("path").rlike(r"^\.github/workflows/|^\.gitlab-ci\.yml$"), "ci")

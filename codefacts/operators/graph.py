@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,13 +29,14 @@ def declared(edges: DataFrame, extra: DataFrame) -> DataFrame:
     return normal(edges.select("src", "dst").unionByName(extra.select("src", "dst"))).where("src != dst")
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, terminals: DataFrame | None = None, mark_seeds: bool = True, stop: DataFrame | None = None) -> Reached:
+def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int | None, terminals: DataFrame | None = None, mark_seeds: bool = True, stop: DataFrame | None = None) -> Reached:
     """Level by level from keyed seeds (key, node): each node at the first level that reaches it.
 
     Nodes in ``terminals`` are reached but not gone on from.  With ``mark_seeds``
     a seed counts as seen and never comes back.  ``stop`` (key, node) ends the
-    walk at the first hit.  Every level is one join, one anti join and one write;
-    the frontier of all keys advances together.
+    walk at the first hit.  Without ``max_depth`` it goes on until nothing new is
+    reached.  Every level is one join, one anti join and one write; the frontier
+    of all keys advances together.
     """
     edges = cut(normal(edges))
     ends = terminals.select(F.col(terminals.columns[0]).alias("node")).distinct() if terminals is not None else None
@@ -43,7 +45,7 @@ def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int, terminals: Data
     reached = None if mark_seeds else seen.limit(0)
     seen_all = seen if mark_seeds else seen.limit(0)
     left = True
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = front.join(edges, F.col("node") == F.col("src")).select("key", F.col("dst").alias("node")).distinct()
         new = cut(step.join(seen_all, ["key", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if not new.limit(1).count():
@@ -101,11 +103,11 @@ def similar(symbols: DataFrame, name: str, limit: int = 5) -> DataFrame:
     return symbols.where(F.lower("qual").contains(name.lower())).select("qual").orderBy("qual").limit(limit)
 
 
-def reaches(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: int = 64) -> bool:
-    """GR21: whether any source (node) reaches any target (node)."""
+def reaches(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> bool:
+    """GR21: whether any source (node) reaches any target (node), however far."""
     seeds = sources.select(F.lit(0).alias("key"), "node")
     goal = targets.select(F.lit(0).alias("key"), "node")
-    return bool(frontier(edges, seeds, max_depth, mark_seeds=False, stop=goal).nodes.join(goal, ["key", "node"], "left_semi").limit(1).count())
+    return bool(frontier(edges, seeds, None, mark_seeds=False, stop=goal).nodes.join(goal, ["key", "node"], "left_semi").limit(1).count())
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -261,6 +263,29 @@ def new_cycles(now: DataFrame, before: DataFrame) -> DataFrame:
     return cycles(now.join(mixed.where("n > 1 and (known < n or `from` > 1)").select("scc"), "scc", "left_semi"))
 
 
+def _peeled(batches):
+    """Longest ways to a sink over the edges (a, b) in one task: whoever has all its successors settled is next."""
+    import pandas as pd
+
+    into: dict = {}
+    left: dict = {}
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist()):
+            into.setdefault(b, []).append(a)
+            left[a] = left.get(a, 0) + 1
+    high = {n: 0 for n in into if n not in left}
+    todo = list(high)
+    while todo:
+        b = todo.pop()
+        for a in into.get(b, ()):
+            high[a] = max(high.get(a, 0), high[b] + 1)
+            left[a] -= 1
+            if not left[a]:
+                todo.append(a)
+    if high:
+        yield pd.DataFrame({"c": list(high), "layer": list(high.values())}).astype({"layer": "int32"})
+
+
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GR22: (node, layer): the longest way to a sink, cycles counting as one node."""
     scc = components(edges)
@@ -269,13 +294,26 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     c = edges.join(name, F.col("src") == F.col("n"), "left").select(F.coalesce("scc", "src").alias("a"), "dst").join(name, F.col("dst") == F.col("n"), "left").select("a", F.coalesce("scc", "dst").alias("b")).where("a != b").distinct()
     c = cut(c)
     every = nodes.select("node").distinct().join(name, F.col("node") == F.col("n"), "left").select("node", F.coalesce("scc", "node").alias("c"))
-    depth = cut(every.select("c").distinct().withColumn("layer", F.lit(0)))
-    while True:
-        over = c.join(depth, F.col("b") == F.col("c")).groupBy("a").agg((F.max("layer") + 1).alias("up"))
-        nxt = cut(depth.join(over, F.col("c") == F.col("a"), "left").select("c", F.greatest("layer", F.coalesce("up", F.lit(0))).alias("layer"), (F.coalesce("up", F.lit(0)) > F.col("layer")).alias("moved")))
-        if not nxt.where("moved").limit(1).count():
-            return every.join(nxt, "c").select("node", "layer")
-        depth = nxt.select("c", "layer")
+    if c.count() <= LOCAL:
+        kind = c.schema["a"].dataType.simpleString()
+        high = c.repartition(1).mapInPandas(_peeled, f"c {kind}, layer int")
+        return every.join(high, "c", "left").select("node", F.coalesce("layer", F.lit(0)).alias("layer"))
+    # from the sinks up: a node is settled once all that it leads to is, and its edges are done with
+    front = cut(every.select("c").distinct().join(c.select(F.col("a").alias("c")), "c", "left_anti").withColumn("layer", F.lit(0)))
+    settled, left = [front], c
+    for layer in count(1):
+        if not front.limit(1).count():
+            break
+        done = front.select(F.col("c").alias("b"))
+        touched = left.join(done, "b", "left_semi").select("a").distinct()
+        left = left.join(done, "b", "left_anti")
+        left = cut(left) if layer % 4 == 0 else left  # else the plan grows with the layers
+        front = cut(touched.join(left.select("a"), "a", "left_anti").select(F.col("a").alias("c"), F.lit(layer).alias("layer")))
+        settled.append(front)
+    out = settled[0]
+    for part in settled[1:]:
+        out = out.unionByName(part)
+    return every.join(out, "c").select("node", "layer")
 
 
 def neighbours(edges: DataFrame, modules: DataFrame, own: DataFrame) -> DataFrame:
@@ -303,6 +341,53 @@ def dead(nodes: DataFrame, edges: DataFrame, is_test: Column | None = None) -> D
     return nodes.select("node").join(into, "node", "left").select("node", F.when(F.col("tests").isNull(), "dead").when(F.col("tests"), "only_tests").alias("state")).where("state is not null")
 
 
+def dead_symbols(nodes: DataFrame, edges: DataFrame, as_value: DataFrame, called_outside: tuple[str, ...] = ("main",)) -> DataFrame:
+    """GR27: (qual, kind, file, line, state) of functions and classes without callers or with tests as their only ones.
+
+    ``nodes``: qual, kind, module, file, line, test.  Calls and inheritance count
+    as use, and so does being named as a value; tests, special methods and what
+    is called from outside are exempt.  A caller is a test by its file, else by
+    its flag, else by name (GR28).
+    """
+    use = edges.where("etype in ('CALLS', 'EXTENDS')").select("src", "dst").distinct()
+    who = nodes.select(F.col("qual").alias("src"), F.col("file").alias("_f"), F.col("test").alias("_t"))
+    into = use.join(who, "src", "left").groupBy(F.col("dst").alias("qual")).agg(F.every(origin_is_test("_f", "_t", "src")).alias("tests"))
+    name = F.element_at(F.split("qual", r"\."), -1)
+    rows = nodes.where("kind in ('function', 'class')").where(~F.coalesce("test", F.lit(False)) & ~is_test_symbol("qual") & ~name.startswith("__") & ~name.isin(*called_outside))
+    rows = rows.join(as_value.select("qual").distinct(), "qual", "left_anti").join(into, "qual", "left")
+    return rows.select("qual", "kind", "file", "line", F.when(F.col("tests").isNull(), "dead").when(F.col("tests"), "only_tests").alias("state")).where("state is not null")
+
+
+def orphan_modules(nodes: DataFrame, edges: DataFrame, imports: DataFrame, entries: DataFrame, called_outside: tuple[str, ...] = ("main",)) -> DataFrame:
+    """GR27: (module, file) of modules that none imports and whose symbols no other module uses; tests and entry points (file) are exempt."""
+    home = nodes.select(F.col("qual").alias("_q"), F.col("module").alias("_m"))
+    use = edges.where("etype in ('CALLS', 'EXTENDS')").join(home.toDF("dst", "md"), "dst").join(home.toDF("src", "ms"), "src", "left")
+    outside = use.where(F.col("md") != F.coalesce("ms", "src")).select(F.col("md").alias("qual"))
+    used = outside.unionByName(imports.select(F.col("dst").alias("qual"))).distinct()
+    name = F.element_at(F.split("qual", r"\."), -1)
+    rows = nodes.where("kind = 'module'").where(~F.coalesce("test", F.lit(False)) & ~is_test_symbol("qual") & ~name.startswith("__") & ~name.isin(*called_outside))
+    return rows.join(used, "qual", "left_anti").join(entries.select("file").distinct(), "file", "left_anti").select(F.col("qual").alias("module"), "file")
+
+
+def dead_total(symbols: DataFrame, orphans: DataFrame) -> DataFrame:
+    """AG11: (state, n) and all together."""
+    each = symbols.select("state").unionByName(orphans.select(F.lit("orphan").alias("state")))
+    return each.groupBy("state").agg(F.count("*").alias("n")).unionByName(each.agg(F.count("*").alias("n")).select(F.lit("total").alias("state"), "n"))
+
+
+def edge_list(edges: DataFrame) -> DataFrame:
+    """GR7: distinct edges in order, each with how many there are."""
+    rows = normal(edges)
+    return rows.join(F.broadcast(rows.agg(F.count("*").alias("edges"))), how="cross").orderBy("src", "dst")  # one row
+
+
+def breakage_targets(nodes: DataFrame, edges: DataFrame, called: bool = True, limit: int = 20) -> DataFrame:
+    """XT36: public functions with callers, or without, most called first."""
+    into = edges.where("etype = 'CALLS'").groupBy(F.col("dst").alias("qual")).agg(F.count_distinct("src").alias("callers"))
+    rows = nodes.where("kind = 'function'").where(~F.element_at(F.split("qual", r"\."), -1).startswith("_")).join(into, "qual", "left").select("qual", F.coalesce("callers", F.lit(0)).cast("long").alias("callers"))
+    return rows.where("callers > 0" if called else "callers = 0").orderBy(F.desc("callers"), "qual").limit(limit)
+
+
 def origin_is_test(file: str, flag: str, name: str) -> Column:
     """GR28: by file where known, else by flag, else by name."""
     return F.when(F.col(file).isNotNull(), is_test_file(file)).when(F.col(flag).isNotNull(), F.col(flag)).otherwise(is_test_symbol(name))

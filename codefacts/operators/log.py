@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codefacts.functions.scalars import ephemeral, exploration, moment
+from codefacts.functions.scalars import ephemeral, exploration, moment, signature_file
+from codefacts.operators.spans import innermost
 
 
 def newest(index: DataFrame, limit: int | None = None, project: str | None = None, since: Column | None = None) -> DataFrame:
@@ -147,10 +148,72 @@ def first_per(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
-def tail(rows: DataFrame, order: list[Column], keep: int) -> DataFrame:
-    """WN5, WN11, SC41, TK8: the last ``keep`` rows, each with how many were cut."""
+def tail(rows: DataFrame, order: list[str], keep: int) -> DataFrame:
+    """WN5, WN11, SC41: the last ``keep`` rows by the given columns, in that order, each with how many were cut."""
     n = rows.agg(F.greatest(F.count("*") - keep, F.lit(0)).alias("cut"))
-    return rows.orderBy(*order).limit(keep).join(n)
+    return rows.orderBy(*[F.desc(c) for c in order]).limit(keep).join(F.broadcast(n), how="cross").orderBy(*order)  # one row
+
+
+def capped(rows: DataFrame, order: list[str], text: str, keep: int) -> DataFrame:
+    """TK8: the first ``keep`` texts in order, and one that says how many more there are."""
+    first = rows.orderBy(*order).limit(keep).select(text)
+    return first.unionByName(rows.agg(F.count("*").alias("n")).where(F.col("n") > keep).select(F.concat(F.lit("+"), (F.col("n") - keep).cast("string"), F.lit(" more")).alias(text)))
+
+
+def node_of(file: Column | str, root: Column | str) -> Column:
+    """The dotted module that a file of any extension is, below a root; null outside it."""
+    f = F.regexp_replace(F.col(file) if isinstance(file, str) else file, r"\\", "/")
+    base = F.lit(root) if isinstance(root, str) else root
+    rel = F.when(f.startswith("/"), F.when(f.startswith(F.concat(base, F.lit("/"))), F.substring(f, F.length(base) + 2, F.length(f)))).otherwise(f)
+    rel = F.regexp_replace(F.when(~rel.startswith(".."), rel), r"^(\./)+|^src/", "")
+    rel = F.regexp_replace(F.regexp_replace(rel, r"(^|/)__init__\.py$", ""), r"\.[^./]*$", "")
+    return F.nullif(F.regexp_replace(rel, "/", "."), F.lit(""))
+
+
+def captures_with_node(index: DataFrame, records: DataFrame, modules: DataFrame, reads: DataFrame, project: str, keep: int = 10) -> DataFrame:
+    """CH29: (id, ts, type, where, node, read) of a project's latest captures.
+
+    The node is the module of the signature's file, else that of the first own
+    frame from the innermost that is a module, else empty.  ``index``: seq, id,
+    ts, type, where, project; ``records``: id, frames (file, is_library).
+    """
+    rows = newest(index.where(~ephemeral("where")), keep, project)
+    known = modules.select(F.col("module").alias("_m")).distinct()
+    rows = rows.withColumn("_n", node_of(signature_file("where"), project)).join(known, F.col("_n") == F.col("_m"), "left")
+    deep = rows.where("_m is null").select("id").join(records.select("id", F.posexplode(F.reverse("frames")).alias("at", "f")), "id").where(~F.coalesce("f.is_library", F.lit(False)))
+    deep = deep.withColumn("_n", node_of(F.col("f.file"), project)).join(known, F.col("_n") == F.col("_m")).groupBy("id").agg(F.min_by("_m", "at").alias("_deep"))
+    out = rows.join(deep, "id", "left").join(read_ids(reads).withColumn("_read", F.lit(True)), "id", "left")
+    return out.select("id", "ts", F.coalesce("type", F.lit("?")).alias("type"), "where", F.coalesce("_m", "_deep", F.lit("")).alias("node"), F.coalesce("_read", F.lit(False)).alias("read"))
+
+
+def crash_anchor(records: DataFrame, symbols: DataFrame, calls: DataFrame, dirty: DataFrame, commits: DataFrame, project: str) -> DataFrame:
+    """GR41: (id, site, node, callers, changed): the symbol that holds a crash's innermost own frame, who calls it, and whether its file changed since.
+
+    ``records``: id, ts, frames (file, line, is_library); ``symbols``: qual, file,
+    line, end.  A record is left out without a frame below the project, or if it
+    has neither a symbol nor a change.
+    """
+    own = F.get(F.filter(F.reverse("frames"), lambda f: ~F.coalesce(f["is_library"], F.lit(False)) & f["file"].isNotNull() & f["line"].isNotNull()), F.lit(0))
+    base = F.lit(project + "/")
+    rows = records.select("id", "ts", own.alias("f")).where(F.col("f.file").startswith(base)).select("id", "ts", F.substring("f.file", len(project) + 2, 100000).alias("path"), F.col("f.line").alias("at"))
+    held = innermost(rows.select("id", "path", "at"), symbols.select("qual", "file", "line", "end"), ["id"]).select("id", F.col("qual").alias("node"))
+    into = calls.select(F.col("src").alias("caller"), F.col("dst").alias("node")).distinct().groupBy("node").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
+    moved = moved_after(dirty, commits, rows.select("id", F.col("path").alias("file"), "ts")).select("id", F.col("moved").alias("changed"))
+    out = rows.join(held, "id", "left").join(into, "node", "left").join(moved, "id", "left").where("node is not null or changed is not null")
+    return out.select("id", F.concat_ws(":", "path", F.col("at").cast("string")).alias("site"), "node", F.coalesce("callers", F.array().cast("array<string>")).alias("callers"), "changed")
+
+
+def since(index: DataFrame, start: Column, keep: int = 50) -> DataFrame:
+    """XT25: the last captures from a moment on; ``ts`` is a timestamp."""
+    return index.where(F.col("ts") >= start).orderBy(F.desc("seq")).limit(keep)
+
+
+def ladder_state(texts: DataFrame, steps: int = 4, width: int = 120) -> DataFrame:
+    """SC42: (path, verdict, step, text) of the last steps in a run's state (path, value), texts cut; damaged files have none."""
+    kind = "struct<verdict:string,steps:array<struct<name:string,text:string>>>"
+    rows = texts.select("path", F.from_json("value", kind).alias("s")).where("s is not null and s.steps is not null")
+    last = F.slice("s.steps", F.greatest(F.size("s.steps") - steps + 1, F.lit(1)), steps)
+    return rows.select("path", F.col("s.verdict").alias("verdict"), F.posexplode(last).alias("step", "x")).select("path", "verdict", "step", F.col("x.name").alias("name"), F.substring("x.text", 1, width).alias("text"))
 
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codefacts.functions.scalars import context_symbol
 from codefacts.operators.rules import prefixes
 
 
@@ -117,13 +118,57 @@ def coverage(edges: DataFrame, unresolved: DataFrame) -> DataFrame:
     return a.join(b).withColumn("share", F.when(F.col("resolved") + F.col("unresolved") > 0, F.round(F.col("resolved") / (F.col("resolved") + F.col("unresolved")), 6)))
 
 
+def _renamed(rows: DataFrame, columns: list[str], names: DataFrame, ext: str) -> DataFrame:
+    """Columns whose value is among ``names`` (n), with the extension behind."""
+    for c in columns:
+        rows = rows.join(names.select(F.col("n").alias(c), F.lit(True).alias("_k")), c, "left").withColumn(c, F.when(F.col("_k"), F.concat_ws(":", F.col(c), F.lit(ext))).otherwise(F.col(c))).drop("_k")
+    return rows
+
+
 def merge_engines(base: DataFrame, other: DataFrame, ext: str = "ext") -> DataFrame:
-    """FX28, FX29: module edges of two engines; a name of the second that the first has too gets its extension."""
-    names = base.select(F.col("src").alias("n")).unionByName(base.select(F.col("dst").alias("n"))).distinct().withColumn("_k", F.lit(True))
-    out = other
-    for c in ("src", "dst"):
-        out = out.join(names.withColumnRenamed("n", c), c, "left").withColumn(c, F.when(F.col("_k"), F.concat_ws(":", c, ext)).otherwise(F.col(c))).drop("_k")
-    return base.select("src", "dst").unionByName(out.select("src", "dst")).distinct()
+    """FX28: module edges of two engines; a name of the second that the first has too gets its extension."""
+    names = base.select(F.col("src").alias("n")).unionByName(base.select(F.col("dst").alias("n"))).distinct()
+    return base.select("src", "dst").unionByName(_renamed(other, ["src", "dst"], names, ext).select("src", "dst")).distinct()
+
+
+def merge_reports(nodes: DataFrame, edges: DataFrame, counters: DataFrame, nodes2: DataFrame, edges2: DataFrame, counters2: DataFrame, ext: str = "ext") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """FX29: symbol reports of two engines: (nodes qual, kind, module; edges src, dst, etype; counters name, n).
+
+    Names that both have get the second one's extension in the second; counters
+    of the same name are summed.
+    """
+    names = nodes.select(F.col("qual").alias("n")).unionByName(nodes.select(F.col("module").alias("n"))).distinct()
+    out_nodes = nodes.select("qual", "kind", "module").unionByName(_renamed(nodes2, ["qual", "module"], names, ext).select("qual", "kind", "module")).distinct()
+    out_edges = edges.select("src", "dst", "etype").unionByName(_renamed(edges2, ["src", "dst"], names, ext).select("src", "dst", "etype")).distinct()
+    return out_nodes, out_edges, counters.select("name", "n").unionByName(counters2.select("name", "n")).groupBy("name").agg(F.sum("n").alias("n"))
+
+
+def import_graph(edges: DataFrame) -> DataFrame:
+    """FX27: the module graph of a report that has imports only."""
+    return edges.where("etype = 'IMPORTS'").select("src", "dst").distinct()
+
+
+def engine(languages: DataFrame) -> str:
+    """FX30: which reader a tree needs: ``python``, ``other``, ``both`` or ``none``."""
+    has = languages.agg(F.max(F.col("lang") == "python").alias("p"), F.max(F.col("lang") != "python").alias("o")).first()
+    return "both" if has.p and has.o else "python" if has.p else "other" if has.o else "none"
+
+
+def known_modules(symbols: DataFrame, degrees: DataFrame) -> DataFrame:
+    """XT42: modules of two reports, by symbol or by degree."""
+    return symbols.where("kind = 'module'").select(F.col("qual").alias("module")).unionByName(degrees.select(F.col("node").alias("module"))).distinct()
+
+
+def context_map(contexts: DataFrame, symbols: DataFrame) -> DataFrame:
+    """XT38: coverage contexts (context) to the symbols with the same last two parts."""
+    two = lambda c: F.array_join(F.slice(F.split(c, r"\."), F.greatest(F.size(F.split(c, r"\.")) - 1, F.lit(1)), 2), ".")
+    return contexts.select("context", context_symbol("context").alias("k")).join(symbols.select("qual", two("qual").alias("k")), "k").select("context", "qual")
+
+
+def patched(lines: DataFrame) -> DataFrame:
+    """XT37: (path, target) of names that tests put a double for: the dotted string of ``patch`` and ``setattr``."""
+    found = F.regexp_extract_all("line", F.lit(r"""(?:patch|setattr)\(\s*["']([A-Za-z_][\w.]*\.\w+)["']"""), F.lit(1))
+    return lines.select("path", F.explode(found).alias("target")).distinct()
 
 
 def abstract_once(classes: DataFrame) -> DataFrame:

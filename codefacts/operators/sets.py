@@ -25,6 +25,14 @@ def shape_delta(now: dict[str, DataFrame], before: dict[str, DataFrame] | None)
     return out
 
 
+def session_map(now: DataFrame, before: DataFrame | None, kind: str = "edges") -> DataFrame:
+    """CH28: a session's map (change, item): whole on the first look, what changed on later ones, and no row in silence."""
+    item = F.concat_ws(" -> ", *[F.col(c).cast("string") for c in now.columns]).alias("item")
+    if before is None:
+        return now.select(F.lit("full").alias("change"), item).distinct()
+    return shape_delta({kind: now}, {kind: before}).select("change", "item")
+
+
 def kept_out(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
     """GR4: rows whose keys the baseline had not."""
     return now.join(before.select(*keys).distinct(), keys, "left_anti")

@@ -15,11 +15,13 @@ def ship(name: str) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a local folder only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``, which driver and executors share; a local folder only where it is unset and all runs in one process, as in tests."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         known = sc._jsc.sc().getCheckpointDir()
+        if known.isEmpty() and not sc.master.startswith("local") or sc.master.startswith("local-cluster") and known.isEmpty():
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="codefacts-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)

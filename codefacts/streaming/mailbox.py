@@ -13,10 +13,21 @@ from codefacts.session import ship
 ORIGINS = ("main", "thread-main", "exception", "process", "signal", "worker", "promise", "goroutine", "task")
 FRAME = "file string, short_src string, source string, line string, function string, method string, what string, class string, native boolean, locals map<string,string>"
 LINK = "type string, message string"
+ERROR = f"struct<type:string, module:string, message:string, origin:string, chain:array<struct<{LINK}>>>"
+#: All that any dialect writes, as one type, so that a line is parsed once.
+RECORD = (
+    "language string, lang string, ts string, capture_method string, hook string, traceback string, backtrace string, trace_id string, span_id string, parent_span string, session_id string, "
+    f"origin string, cwd string, project string, project_root string, pid string, ppid string, frames array<struct<{FRAME}>>, stack array<struct<{FRAME}>>, location struct<{FRAME}>, "
+    f"exception {ERROR}, error {ERROR}, process struct<cwd:string, project:string, project_root:string, pid:string, ppid:string, runtime:string, command:string>"
+)
 
 
 def _text(*paths: str) -> Column:
-    return F.coalesce(*[F.get_json_object("value", f"$.{p}") for p in paths])
+    return F.coalesce(*[F.col(f"r.{p}") for p in paths])
+
+
+def many_type() -> str:
+    return f"array<struct<{FRAME}>>"
 
 
 def _frame(f: Column, lang: Column) -> Column:
@@ -31,15 +42,16 @@ def _frame(f: Column, lang: Column) -> Column:
 
 def normalised(raw: DataFrame) -> DataFrame:
     """SF28, SF29: records of mailbox lines (value); lines that are no JSON object are left out."""
-    rows = raw.where(F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
+    rows = raw.where(F.trim("value").startswith("{") & F.try_parse_json("value").isNotNull())
+    # a generator of one row keeps the optimiser from parsing the line anew for every field
+    rows = rows.select(F.explode(F.array(F.from_json("value", RECORD))).alias("r")).where("r is not null")
     rows = rows.withColumn("lang", F.coalesce(_text("language", "lang"), F.lit("unknown")))
-    many = F.from_json(F.coalesce(F.nullif(_text("frames"), F.lit("[]")), _text("stack")), f"array<struct<{FRAME.replace(' ', ':').replace(',:', ',')}>>")
-    one = F.from_json(_text("location"), f"struct<{FRAME.replace(' ', ':').replace(',:', ',')}>")
-    rows = rows.withColumn("_f", F.coalesce(many, F.when(one.isNotNull(), F.array(one)), F.array().cast(f"array<struct<{FRAME.replace(' ', ':').replace(',:', ',')}>>")))
+    many = F.coalesce(F.when(F.size("r.frames") > 0, F.col("r.frames")), F.col("r.stack"))
+    rows = rows.withColumn("_f", F.coalesce(many, F.when(F.col("r.location").isNotNull(), F.array("r.location")), F.array().cast(many_type())))
     frames = F.transform(F.filter("_f", lambda f: f.isNotNull()), lambda f: _frame(f, F.col("lang")))
     rows = rows.withColumn("frames", F.when(F.col("lang").isin(*INNERMOST_FIRST), F.reverse(frames)).otherwise(frames))
     origin = _text("exception.origin", "error.origin", "origin")
-    chain = F.transform(F.coalesce(F.from_json(_text("exception.chain", "error.chain"), f"array<struct<{LINK.replace(' ', ':').replace(',:', ',')}>>"), F.array().cast("array<struct<type:string,message:string>>")), lambda c: F.struct(F.lit("cause").alias("kind"), F.coalesce(c["type"], F.lit("?")).alias("type"), F.coalesce(c["message"], F.lit("")).alias("message")))
+    chain = F.transform(F.coalesce(_text("exception.chain", "error.chain"), F.array().cast("array<struct<type:string,message:string>>")), lambda c: F.struct(F.lit("cause").alias("kind"), F.coalesce(c["type"], F.lit("?")).alias("type"), F.coalesce(c["message"], F.lit("")).alias("message")))
     exception = F.struct(F.coalesce(_text("exception.type", "error.type"), F.lit("?")).alias("type"), _text("exception.module", "error.module").alias("module"), F.coalesce(_text("exception.message", "error.message"), F.lit("")).alias("message"), chain.alias("chain"), F.lit(None).cast("string").alias("origen"))
     process = F.struct(_text("process.cwd", "cwd").alias("cwd"), _text("process.project", "project", "project_root", "process.project_root").alias("project"), to_int(_text("process.pid", "pid")).alias("pid"), to_int(_text("process.ppid", "ppid")).alias("ppid"), _text("process.runtime").alias("runtime"), _text("process.command").alias("program"))
     out = rows.select(

@@ -36,7 +36,7 @@ def test_entry_and_a_sample_of_queries_against_their_sql(spark):
     c = duckdb.connect()
     for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
-    for name in ("fan_degree_topk", "scc_cycles", "rule_violations", "error_cycle", "as_of_last_read", "debt", "test_signals_like", "innermost_container", "trace_chain"):
+    for name in ("fan_degree_topk", "scc_cycles", "rule_violations", "error_cycle", "as_of_last_read", "debt", "test_signals_like", "innermost_container", "trace_chain", "dead_code", "captures_on_graph", "crash_anchors", "python_facts", "path_functions", "log_views", "diffs_parsed", "parallel_work"):
         got = e.queries()[name](spark, DATA)
         cols = sorted(got.columns)
         want = c.execute(f"SELECT {', '.join(chr(34) + x + chr(34) for x in cols)} FROM ({e.oracle_sql()[name]})").fetchall()

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from codefacts.operators import graph, impact
+from codefacts.operators import graph, impact, resolve
 from tests.conftest import rows
 
 
@@ -107,3 +107,37 @@ def test_force_layout_is_the_same_twice(spark):
     assert rows(graph.force_layout(nodes(spark, "abc"), e)) == rows(graph.force_layout(nodes(spark, "abc"), e))
     assert graph.ego(e, nodes(spark, "a")).count() == 2
     assert F.lit(1) is not None
+
+
+def test_reaches_as_far_as_the_graph_goes(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "src long, dst long")
+    one = lambda x: spark.createDataFrame([(x,)], "node long")
+    assert graph.reaches(chain, one(0), one(70)) and not graph.reaches(chain, one(70), one(0))
+
+
+def test_layers_are_the_same_in_one_task_and_by_peeling(spark, monkeypatch):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (1, 3), (3, 4), (5, 6), (6, 5), (6, 3), (8, 5), (9, 9)], "src long, dst long")
+    nodes = spark.createDataFrame([(i,) for i in range(1, 11)], "node long")
+    want = {1: 3, 2: 2, 3: 1, 4: 0, 5: 2, 6: 2, 7: 0, 8: 3, 9: 0, 10: 0}
+    assert dict(rows(graph.layers(nodes, edges))) == want
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    assert dict(rows(graph.layers(nodes, edges))) == want
+
+
+def test_dead_code_leaves_alone_what_is_used(spark):
+    nodes = spark.createDataFrame(
+        [("a", "module", "a", "a.py", 1, None), ("a.f", "function", "a", "a.py", 2, None), ("a.g", "function", "a", "a.py", 5, None), ("a.K", "class", "a", "a.py", 9, None), ("a.main", "function", "a", "a.py", 12, None), ("a.v", "function", "a", "a.py", 15, None),
+         ("b", "module", "b", "b.py", 1, None), ("c", "module", "c", "c.py", 1, None), ("tests.t", "function", "tests", "tests/t.py", 1, None)],
+        "qual string, kind string, module string, file string, line int, test boolean",
+    )
+    edges = spark.createDataFrame([("a.g", "a.f", "CALLS"), ("tests.t", "a.g", "CALLS"), ("a", "a.K", "DEFINES")], "src string, dst string, etype string")
+    dead = graph.dead_symbols(nodes, edges, spark.createDataFrame([("a.v",)], "qual string"))
+    assert rows(dead.select("qual", "state")) == [("a.K", "dead"), ("a.g", "only_tests")]
+    orphans = graph.orphan_modules(nodes, edges, spark.createDataFrame([("c", "b")], "src string, dst string"), spark.createDataFrame([("c.py",)], "file string"))
+    assert rows(orphans) == []
+    assert dict(rows(graph.dead_total(dead, orphans))) == {"dead": 1, "only_tests": 1, "total": 2}
+
+
+def test_graphs_of_two_engines(spark):
+    pairs = lambda *e: spark.createDataFrame(list(e), "src string, dst string")
+    assert rows(resolve.merge_engines(pairs(("a", "b")), pairs(("a", "c"), ("c", "b")))) == [("a", "b"), ("a:ext", "c"), ("c", "b:ext")]

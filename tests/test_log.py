@@ -103,3 +103,18 @@ def test_sets_floor_search(spark):
 def test_verdicts(spark):
     d = spark.createDataFrame([("c", "A", 0), ("c", "B", 0), ("c", None, 1), ("r", "A", 1), ("r", None, 0)], "case string, branch string, verdict int")
     assert rows(activity.verdicts(d)) == [("c", 1, False, True), ("r", 1, True, False)]
+
+
+def test_tail_is_the_end_in_order(spark):
+    d = spark.createDataFrame([(3, "c"), (1, "a"), (2, "b")], "seq int, x string")
+    assert [tuple(r) for r in log.tail(d, ["seq"], 2).collect()] == [(2, "b", 1), (3, "c", 1)]
+    assert [tuple(r) for r in log.tail(d, ["seq"], 9).select("x", "cut").collect()] == [("a", 0), ("b", 0), ("c", 0)]
+    assert [r[0] for r in log.capped(d, ["seq"], "x", 2).collect()] == ["a", "b", "+1 more"]
+
+
+def test_a_touch_is_inherited_only_with_its_commit(spark):
+    each = spark.createDataFrame([(1, "a", "s1", "n", "commit"), (2, "b", "s2", "n", "commit"), (3, "c", "e1", "m", "edicion"), (4, "a", "s3", "m", "commit")], "ts long, agent string, id string, node string, kind string")
+    seen = activity.inherited(each, spark.createDataFrame([("b", "s1")], "agent string, sha string"))
+    assert rows(seen.select("src", "dst", "node", "inherited")) == [("a", "b", "n", True), ("c", "a", "m", None)]
+    blind = activity.inherited(each, spark.createDataFrame([], "agent string, sha string"))
+    assert rows(blind.select("src", "dst", "inherited"))[0] == ("a", "b", False)

@@ -11,10 +11,10 @@ from tests.conftest import rows
 
 TREE = {
     "app/__init__.py": "",
-    "app/util.py": "import os\n\ndef limpia(x, y=1):\n    '''Clean.'''\n    return x\n",
-    "app/core.py": "﻿from .util import limpia\nfrom app import util\nfrom app.util import gone\n\nclass Base:\n    def interno(self):\n        return limpia(1)\n\nclass Hijo(Base):\n    def publico(self):\n        self.interno()\n        util.limpia(2)\n        obj.hacer()\n\nHANDLERS = [limpia]\n",
+    "app/util.py": "import os\n\ndef tidy(x, y=1):\n    '''Clean.'''\n    return x\n",
+    "app/core.py": "﻿from .util import tidy\nfrom app import util\nfrom app.util import gone\n\nclass Base:\n    def inner_step(self):\n        return tidy(1)\n\nclass Worker(Base):\n    def serve(self):\n        self.inner_step()\n        util.tidy(2)\n        obj.launch()\n\nHANDLERS = [tidy]\n",
     "app/bad.py": "def (:\n",
-    "tests/test_core.py": "from app.core import Hijo\n\ndef test_hijo():\n    Hijo()\n",
+    "tests/test_core.py": "from app.core import Worker\n\ndef test_worker():\n    Worker()\n",
     "node_modules/x.py": "import nope\n",
     "sub/pyproject.toml": "",
     "sub/inner.py": "import nope\n",
@@ -39,27 +39,27 @@ def test_tree_to_symbol_graph(spark, tmp_path):
     a = commands.analyse(f)
     assert rows(a.imports) == [("app.core", "app"), ("app.core", "app.util"), ("tests.test_core", "app.core")] or rows(a.imports) == [("app.core", "app.util"), ("tests.test_core", "app.core")]
     e = rows(a.edges)
-    for want in [("app.core.Base.interno", "app.util.limpia", "CALLS"), ("app.core.Hijo", "app.core.Base", "EXTENDS"), ("app.core.Hijo.publico", "app.util.limpia", "CALLS"), ("tests.test_core.test_hijo", "app.core.Hijo", "CALLS"), ("app.core", "app.core.Base", "DEFINES"), ("app.core.Base.interno", "app.core.Base", "MEMBER_OF")]:
+    for want in [("app.core.Base.inner_step", "app.util.tidy", "CALLS"), ("app.core.Worker", "app.core.Base", "EXTENDS"), ("app.core.Worker.serve", "app.util.tidy", "CALLS"), ("tests.test_core.test_worker", "app.core.Worker", "CALLS"), ("app.core", "app.core.Base", "DEFINES"), ("app.core.Base.inner_step", "app.core.Base", "MEMBER_OF")]:
         assert want in e
-    assert not any("hacer" in x[1] for x in e)
+    assert not any("launch" in x[1] for x in e)
     assert dict(rows(a.unresolved))["atributo-de-variable"] >= 1
-    assert ("app.util.limpia", "app.core.<modulo>") in rows(a.named)
+    assert ("app.util.tidy", "app.core.<modulo>") in rows(a.named)
     assert rows(extract.errors(a.facts).select("path")) == [("app/bad.py",)]
     assert rows(extract.broken_imports(a.facts).select("missing")) == [("app.util.gone",)]
     sig = {r["qual"]: r["sig"] for r in a.symbols.collect()}
-    assert sig["app.util.limpia"] == "(x, y=1)"
+    assert sig["app.util.tidy"] == "(x, y=1)"
 
 
 def test_git_source_and_selection(spark, tmp_path):
-    root = write(tmp_path, {"lib/nucleo.py": "def suma(a, b):\n    return a + b\n\ndef resta(a, b):\n    return a - b\n", "tests/test_suma.py": "from lib.nucleo import suma\n\ndef test_suma():\n    assert suma(1, 2) == 3\n", "tests/test_resta.py": "from lib.nucleo import resta\n\ndef test_resta():\n    assert resta(2, 1) == 1\n"})
+    root = write(tmp_path, {"calc/ops.py": "def plus(left, right):\n    total = left + right\n    return total\n\n\ndef minus(left, right):\n    return left - right\n", "tests/test_plus.py": "from calc.ops import plus\n\ndef test_plus():\n    assert plus(1, 2) == 3\n", "tests/test_minus.py": "from calc.ops import minus\n\ndef test_minus():\n    assert minus(2, 1) == 1\n"})
     run(root, "init", "-q")
     run(root, "add", "-A")
     run(root, "commit", "-qm", "one")
-    (tmp_path / "lib/nucleo.py").write_text("def suma(a, b):\n    return b + a\n\ndef resta(a, b):\n    return a - b\n")
-    assert rows(git.read(spark, root, "blobs", ref="HEAD").select("path")) == [("lib/nucleo.py",), ("tests/test_resta.py",), ("tests/test_suma.py",)]
+    (tmp_path / "calc/ops.py").write_text("def plus(left, right):\n    total = right + left\n    return total\n\n\ndef minus(left, right):\n    return left - right\n")
+    assert rows(git.read(spark, root, "blobs", ref="HEAD").select("path")) == [("calc/ops.py",), ("tests/test_minus.py",), ("tests/test_plus.py",)]
     assert git.read(spark, root, "log").count() == 3
     chosen = commands.tests_report(spark, root, commands.tree_files(spark, root))
-    assert not chosen.run_all and chosen.files == ["tests/test_suma.py"]
+    assert not chosen.run_all and chosen.files == ["tests/test_plus.py"]
 
 
 def test_gate_fires_on_a_cycle_and_is_silent_without(spark, tmp_path):

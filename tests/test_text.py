@@ -73,8 +73,8 @@ def test_redaction(spark):
 
 
 def test_argv_shape(spark):
-    d = spark.createDataFrame([(["/usr/bin/gb", "calls", "x", "--token=abc", "-v"],), (["python", "-c", "print(1)"],), ([],)], "a array<string>")
-    assert [r[0] for r in d.select(S.argv_shape("a")).collect()] == [["gb", "calls", "<arg>", "--token=<val>", "-v"], ["python", "-c", "<arg>"], []]
+    d = spark.createDataFrame([(["/usr/bin/tool", "calls", "x", "--token=abc", "-v"],), (["python", "-c", "print(1)"],), ([],)], "a array<string>")
+    assert [r[0] for r in d.select(S.argv_shape("a")).collect()] == [["tool", "calls", "<arg>", "--token=<val>", "-v"], ["python", "-c", "<arg>"], []]
 
 
 def test_signatures_that_break_calls(spark):
