@@ -393,7 +393,7 @@ def plain_scores(data, speller):
     """Scores text by text, with all counts of the other texts taken anew."""
     words = [[*lm.words_of(t), b""] for _, t in data]
     train = [not lm.held_out(i) for i, _ in data]
-    code = lambda w: (xxhash.xxh64_intdigest(w) & ((1 << 63) - 1) & 0xFFFFFFFF) | 1
+    code = lambda w: (xxhash.xxh64_intdigest(w) & ((1 << 63) - 1) & 0xFFFFFF) | 1
     bucket = lambda x, edges: sum(x >= e for e in edges)
     pairs = lambda t: [((t[i - 2] if i > 1 else b"", t[i - 1] if i else b""), t[i]) for i in range(len(t))]
     hits, known, parts, out = np.zeros((lm.N_HIT, 2)), np.zeros((lm.N_KNOWN, 2)), [], []
