@@ -39,6 +39,8 @@ START, END = "<|im_start|>", "<|im_end|>\n"
 ESCAPES = (("\\", "\\\\"), ("<|", "<\\|"), ("</s>", "<\\/s>"), ("<s>", "<\\s>"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]"))
 LOSS = "assistant"
 ROWS = 1024
+#: Bytes of text in a chunk, unless one turn alone is longer; scattering takes some 16 bytes of index for each.
+BYTES = 4 << 20
 UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 CHUNK = "conv_id long, no_turn boolean, turn long, k long, formatted string, loss array<long>"
 
@@ -95,8 +97,12 @@ def formatted(turns: DataFrame) -> DataFrame:
     def run(batches):
         last, k = None, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, ROWS):
-                b = whole.slice(at, ROWS)
+            ends = np.cumsum(pc.fill_null(pc.binary_length(whole.column(3)), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < whole.num_rows:
+                limit = (ends[at - 1] if at else 0) + BYTES
+                b = whole.slice(at, min(ROWS, max(1, int(np.searchsorted(ends, limit, "right")) - at)))
+                at += b.num_rows
                 conv = pc.fill_null(b.column(0), 0).to_numpy()
                 void = pc.is_null(b.column(0)).to_numpy(zero_copy_only=False)
                 starts = np.flatnonzero(np.r_[True, (conv[1:] != conv[:-1]) | (void[1:] != void[:-1])])

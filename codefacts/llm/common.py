@@ -21,13 +21,16 @@ def ship(name: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is absent, as in tests, a local folder is made and
-    set as the checkpoint folder of the session's context.
+    Only where that setting is absent and everything runs in one process, as in
+    tests, a local folder is made and set as the checkpoint folder of the
+    session's context; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir")
     if not found:
         known = sc._jsc.sc().getCheckpointDir()
+        if known.isEmpty() and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="codefacts-checkpoint-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(found)

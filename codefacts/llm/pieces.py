@@ -29,6 +29,8 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -93,9 +95,8 @@ class Codec:
     @classmethod
     def of(cls, path: str) -> Codec:
         """The process's codec for a file: a worker that runs many tasks builds it once and goes on with its table."""
-        import sentencepiece
-
-        kept = sentencepiece.__dict__.setdefault("_codefacts_codecs", {})
+        # this module is sent by value and made anew for every task, so what lasts as long as the worker has a module of its own
+        kept = sys.modules.setdefault("codefacts_worker_codecs", types.ModuleType("codefacts_worker_codecs")).__dict__.setdefault("codecs", {})
         if path not in kept:
             kept.clear()
             kept[path] = cls(path)
