@@ -89,7 +89,6 @@ def graph_report(spark: SparkSession, now: DataFrame, before: DataFrame | None =
         was = graph.components(old)
         out.tables |= {
             "new_cycles": graph.new_cycles(scc, was),
-            "new_pairs": graph.new_pairs(scc, was),
             "new_violations": sets.kept_out(out.tables["violations"], rules.violations(old, table), ["src", "dst"]),
             "ungoverned": rules.ungoverned(sets.kept_out(edges, old, ["src", "dst"]), rules.all_patterns(table, surfaces)),
         }
@@ -113,11 +112,13 @@ def calls_report(a: Analysis, name: str, depth: int = 2) -> Report:
     return Report({"symbols": found, "callers": graph.callers(calls, origin, depth), "callees": graph.callees(calls, origin, depth), "split": graph.caller_split(calls.join(origin, F.col("dst") == F.col("node"), "left_semi"))})
 
 
-def dead_report(a: Analysis) -> Report:
-    """``dead``: symbols without callers, or called by tests only; bodies that name a symbol count as callers."""
-    used = a.edges.where("etype in ('CALLS', 'EXTENDS')").select("src", "dst").unionByName(a.named.select(F.regexp_replace("body", r"\.<modulo>$", "").alias("src"), F.col("qual").alias("dst")))
-    nodes = a.symbols.where("kind in ('function', 'class')").select(F.col("qual").alias("node"))
-    return Report({"dead": graph.dead(nodes, used.where("src != dst")).where(~F.col("node").startswith("tests."))})
+def dead_report(a: Analysis, files: DataFrame | None = None) -> Report:
+    """``dead``: symbols without callers, or called by tests only, and modules that nothing imports or uses; with ``files``, entry points are exempt."""
+    nodes = a.symbols.select("qual", "kind", "module", "file", "line", "test")
+    dead = cut(graph.dead_symbols(nodes, a.edges, a.named))
+    entries = graph.entry_points(files).select(F.col("path").alias("file")) if files is not None else nodes.select("file").limit(0)
+    orphans = cut(graph.orphan_modules(nodes, a.edges, a.imports, entries))
+    return Report({"dead": dead, "orphans": orphans, "total": graph.dead_total(dead, orphans)})
 
 
 def tests_report(spark: SparkSession, repo: str, files: DataFrame, range_: str | None = None) -> impact.Selection:

@@ -126,16 +126,17 @@ def callees_depth3(spark, sf):
     return graph.callees(edges, busiest(edges), 3)
 
 
-@query(f"""WITH RECURSIVE {_parts()}, t AS (SELECT p_partkey AS node FROM part WHERE p_size <= 5), s AS (SELECT p_partkey AS node FROM part ORDER BY p_retailprice, p_partkey LIMIT 200),
+@query(f"""WITH RECURSIVE {_parts()}, t AS (SELECT p_partkey AS node FROM part WHERE p_size <= 5), s AS (SELECT p_partkey AS node FROM part WHERE p_retailprice IN (SELECT DISTINCT p_retailprice FROM part ORDER BY 1 LIMIT 10)),
 w AS (SELECT node, 0 AS depth FROM s UNION SELECT pe.src, w.depth + 1 FROM w JOIN pe ON w.node = pe.dst WHERE w.depth < 8 AND (w.depth = 0 OR w.node NOT IN (SELECT node FROM t))),
 f AS (SELECT node, min(depth) AS depth FROM w WHERE depth > 0 GROUP BY node)
 SELECT node, depth::INTEGER AS depth, node IN (SELECT node FROM t) AS terminal,
   EXISTS (SELECT 1 FROM f JOIN pe ON f.node = pe.dst WHERE f.depth = 8 AND f.node NOT IN (SELECT node FROM t) AND pe.src NOT IN (SELECT node FROM f)) AS truncated FROM f""")
 def impact_closure(spark, sf):
-    """GR12: backwards from the cheapest parts; small parts end the walk; eight steps at most."""
+    """GR12: backwards from all parts of the ten lowest prices; small parts end the walk; eight steps at most."""
     part = table(spark, sf, "part")
     tests = cut(part.where("p_size <= 5").select(F.col("p_partkey").alias("node")))
-    seeds = part.orderBy("p_retailprice", "p_partkey").limit(200).select(F.lit(0).alias("key"), F.col("p_partkey").alias("node"))
+    prices = part.select("p_retailprice").distinct().orderBy("p_retailprice").limit(10)
+    seeds = part.join(prices, "p_retailprice", "left_semi").select(F.lit(0).alias("key"), F.col("p_partkey").alias("node"))
     found = impact.closure(graph.reversed_edges(parts_graph(spark, sf)), seeds, tests)
     return found.nodes.join(tests.withColumn("t", F.lit(True)), "node", "left").select("node", "depth", F.coalesce("t", F.lit(False)).alias("terminal"), F.lit(found.truncated).alias("truncated"))
 
@@ -162,7 +163,7 @@ def layers_dag(spark, sf):
 
 @query(f"WITH {_parts()}, {_parts(38, BASELINE, 'old')} SELECT src, dst FROM pe EXCEPT SELECT src, dst FROM old")
 def new_edges_vs_baseline(spark, sf):
-    """GR42, GR4: edges since the baseline's day."""
+    """GR4: edges since the baseline's day."""
     return sets.kept_out(parts_graph(spark, sf), parts_graph(spark, sf, until=BASELINE), ["src", "dst"])
 
 
@@ -309,7 +310,7 @@ def longest_prefix_resolve(spark, sf):
 @query("""WITH t AS (SELECT s_suppkey % 700 AS tail, s_name AS qual FROM supplier UNION ALL SELECT c_custkey % 700, c_name FROM customer), n AS (SELECT tail, count(DISTINCT qual) AS n, min(qual) AS q FROM t GROUP BY 1)
 SELECT p_partkey AS part, p_partkey % 900 AS tail, CASE WHEN n = 1 THEN q END AS qual, CASE WHEN n IS NULL THEN 'nombre-desconocido' WHEN n > 1 THEN 'nombre-ambiguo' END AS reason FROM part LEFT JOIN n ON p_partkey % 900 = n.tail""")
 def ambiguous_unique_join(spark, sf):
-    """FX22, FX23: a name counts only if one thing has it."""
+    """Uniqueness join: a name counts only if one thing has it."""
     t = table(spark, sf, "supplier").select((F.col("s_suppkey") % 700).alias("tail"), F.col("s_name").alias("qual")).unionByName(table(spark, sf, "customer").select((F.col("c_custkey") % 700).alias("tail"), F.col("c_name").alias("qual")))
     asked = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), (F.col("p_partkey") % 900).alias("tail"))
     return resolve.unique(asked, t, "tail", "qual").select("part", "tail", "qual", "reason")
@@ -370,7 +371,7 @@ def read_stats(spark, sf):
 
 @query(f"SELECT event_type AS cmd, count(*) AS n FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL {PENDING_DAYS} DAY GROUP BY 1")
 def usage_last_days(spark, sf):
-    """AG3, SC19, with the last event as the clock."""
+    """AG3, with the last event as the clock."""
     e = table(spark, sf, "events")
     last = e.agg(F.max("ts").alias("now"))
     return log.usage(e.select(F.col("event_type").alias("cmd"), "ts").join(F.broadcast(last)), F.col("now"), PENDING_DAYS)
@@ -425,7 +426,7 @@ def as_of_last_read(spark, sf):
 
 @query("""WITH v AS (SELECT CASE WHEN event_id % 10 = 0 THEN substr(props, 1, 4) ELSE props END AS v FROM events), p AS (SELECT try_cast(json_extract_string(CASE WHEN json_valid(v) THEN v END, '$.k') AS INTEGER) AS k FROM v) SELECT k % 10 AS bucket, count(*) AS n, sum(k)::BIGINT AS total FROM p WHERE k IS NOT NULL GROUP BY 1""")
 def json_props(spark, sf):
-    """SF30, SC12: damaged rows are left out, never fatal."""
+    """SF30: damaged rows are left out, never fatal."""
     e = table(spark, sf, "events").select(F.when(F.col("event_id") % 10 == 0, F.substring("props", 1, 4)).otherwise(F.col("props")).alias("value"))
     k = S.to_int(F.get_json_object("value", "$.k"))
     return e.where(F.try_parse_json("value").isNotNull()).select(k.alias("k")).where("k is not null").groupBy((F.col("k") % 10).alias("bucket")).agg(F.count("*").alias("n"), F.sum("k").alias("total"))
@@ -461,7 +462,7 @@ _WORK = "w AS (SELECT floor(epoch(ts))::BIGINT AS ts, user_id % 4 AS agent, even
 @query(f"""WITH {_WORK}, d AS (SELECT * FROM w WHERE ts >= (SELECT max(ts) FROM w) - 86400), p AS (SELECT a.agent AS src, b.agent AS dst, a.node, a.ts AS ts_src, b.ts AS ts_dst FROM d a JOIN d b ON a.node = b.node AND a.agent <> b.agent AND b.ts > a.ts)
 SELECT src, dst, node, ts_src, ts_dst FROM p QUALIFY row_number() OVER (PARTITION BY src, dst, node ORDER BY ts_src, ts_dst) = 1""")
 def chronology_propagation(spark, sf):
-    """CH14, WN4, WN5: the first time that work on a node follows another's, within a day."""
+    """CH14, WN4: the first time that work on a node follows another's, within a day."""
     events = work(spark, sf).select("ts", "agent", "id", F.array("node").alias("nodes"))
     return activity.chronology(events, 86400, None)[1]
 
