@@ -11,6 +11,7 @@ from itertools import product
 from math import isclose, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark import cloudpickle
@@ -393,7 +394,8 @@ def plain_scores(data, speller):
     """Scores text by text, with all counts of the other texts taken anew."""
     words = [[*lm.words_of(t), b""] for _, t in data]
     train = [not lm.held_out(i) for i, _ in data]
-    code = lambda w: (xxhash.xxh64_intdigest(w) >> (64 - lm.WORD_BITS)) % lm.CODES + 1
+    every = sorted({w for t in words for w in t})
+    code = dict(zip(every, (lm.word_hashes(pa.array([w.decode() for w in every], pa.large_string())) % lm.CODES + 1).tolist())).__getitem__
     bucket = lambda x, edges: sum(x >= e for e in edges)
     pairs = lambda t: [((t[i - 2] if i > 1 else b"", t[i - 1] if i else b""), t[i]) for i in range(len(t))]
     hits, known, parts, out = np.zeros((lm.N_HIT, 2)), np.zeros((lm.N_KNOWN, 2)), [], []
