@@ -2,7 +2,7 @@ import random
 
 from conftest import rows
 
-from codefacts.operators import spans
+from codefacts.operators import log, spans
 
 
 def odd_spans(n, seed):
@@ -42,3 +42,15 @@ def test_innermost_on_odd_spans_looks_at_no_pair_that_does_not_match(spark):
     got = spans.innermost(spark.createDataFrame(points, POINT), spark.createDataFrame(table, SPAN), ["k"]).select("k", "qual")
     assert joined_by_equality_only(got)
     assert sorted(map(tuple, got.collect())) == first(held(points, table), lambda s: (-s[1], s[2], s[0]))
+
+
+def test_crash_anchor_looks_at_no_symbol_that_does_not_hold_the_crash(spark):
+    symbols = spark.createDataFrame([("m.f", "m.py", 1, 9), ("m.f.g", "m.py", 4, 6), ("m.h", "m.py", 8, 7)], SPAN)
+    frames = "id string, ts timestamp_ntz, frames array<struct<file:string,line:int,is_library:boolean>>"
+    crashes = spark.createDataFrame([(i, None, [("/p/m.py", at, False)]) for i, at in (("a", 5), ("b", 7), ("c", 10))], frames)
+    calls = spark.createDataFrame([("m.h", "m.f.g")], "src string, dst string")
+    none = spark.createDataFrame([], "file string")
+    commits = spark.createDataFrame([], "file string, commit string, commit_ts timestamp_ntz")
+    got = log.crash_anchor(crashes, symbols, calls, none, commits, "/p").select("id", "site", "node", "callers")
+    assert joined_by_equality_only(got.select("id", "node"))
+    assert rows(got) == [("a", "m.py:5", "m.f.g", ["m.h"]), ("b", "m.py:7", "m.f", [])]
