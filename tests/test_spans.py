@@ -54,3 +54,13 @@ def test_crash_anchor_looks_at_no_symbol_that_does_not_hold_the_crash(spark):
     got = log.crash_anchor(crashes, symbols, calls, none, commits, "/p").select("id", "site", "node", "callers")
     assert joined_by_equality_only(got.select("id", "node"))
     assert rows(got) == [("a", "m.py:5", "m.f.g", ["m.h"]), ("b", "m.py:7", "m.f", [])]
+
+
+def test_overlapping_on_odd_spans_looks_at_no_pair_that_does_not_match(spark):
+    table, hunks = odd_spans(150, 3), odd_spans(90, 4)
+    got = spans.overlapping(spark.createDataFrame(table, SPAN), spark.createDataFrame(hunks, "h string, path string, start int, stop int")).select("qual", "h")
+    # the two remaining comparisons are filters on ends before starts, not conditions of a search
+    want = [(q, h) for q, file, a, b in table for h, path, c, d in hunks if None not in (file, a, b, c, d) and path == file and c <= b and a <= d]
+    assert rows(got) == sorted(want, key=repr)
+    many = spark.range(300_000).selectExpr("'q' as qual", "'f' as file", "cast(id * 3 as int) as line", "cast(id * 3 + 1 as int) as end")
+    assert spans.overlapping(many, many.selectExpr("'h' as h", "file as path", "line as start", "end as stop")).count() == 300_000  # 90 billion pairs of one file
