@@ -64,3 +64,23 @@ def test_overlapping_on_odd_spans_looks_at_no_pair_that_does_not_match(spark):
     assert rows(got) == sorted(want, key=repr)
     many = spark.range(300_000).selectExpr("'q' as qual", "'f' as file", "cast(id * 3 as int) as line", "cast(id * 3 + 1 as int) as end")
     assert spans.overlapping(many, many.selectExpr("'h' as h", "file as path", "line as start", "end as stop")).count() == 300_000  # 90 billion pairs of one file
+
+
+def test_located_and_enclosing_on_odd_spans_look_at_no_pair_that_does_not_match(spark):
+    table, r = [(*s, "m") for s in odd_spans(150, 5)], random.Random(6)
+    points = [(k, r.choice(["f", "g", "x", None]), r.choice([None, *range(-30, 50)])) for k in range(120)]
+    s, p = spark.createDataFrame(table, SPAN + ", module string"), spark.createDataFrame(points, POINT)
+    bare = [t[:4] for t in table]
+    around = dict(first(held(points, bare), lambda x: (x[2] - x[1], x[0])))
+    got = spans.enclosing(p, s, ["k"])
+    assert joined_by_equality_only(got)
+    assert dict(map(tuple, got.collect())) == {k: around.get(k) for k, *_ in points}
+    at = {k: x for k, _, x in points}
+    near = [(k, q, a, b) for k, path, x in points for q, file, a, b in bare if None not in (path, x, a, b) and path == file and a <= x + 5 and x <= b]
+    want = {}
+    for k, q, a, b in near:
+        place = (0 if a == at[k] else 1 if a < at[k] else 2, b - a, q)
+        want[k] = min(want.get(k, place), place)
+    got = spans.located(p, s, ["k"]).select("k", "qual")
+    assert joined_by_equality_only(got)
+    assert dict(map(tuple, got.collect())) == {k: place[2] for k, place in want.items()}
