@@ -1,8 +1,9 @@
 import random
 
 from conftest import rows
+from pyspark.sql import functions as F
 
-from codefacts.operators import log, spans
+from codefacts.operators import impact, log, spans
 
 
 def odd_spans(n, seed):
@@ -84,3 +85,17 @@ def test_located_and_enclosing_on_odd_spans_look_at_no_pair_that_does_not_match(
     got = spans.located(p, s, ["k"]).select("k", "qual")
     assert joined_by_equality_only(got)
     assert dict(map(tuple, got.collect())) == {k: place[2] for k, place in want.items()}
+
+
+def test_value_edges_of_one_large_module_are_dealt_over_tasks(spark):
+    named = spark.range(3000).selectExpr("concat('b', id) as qual", "if(id = 7, 'x.y', 'p.m.<modulo>') as body")
+    symbols = spark.range(2500).selectExpr("concat('p.m.f', id) as qual", "if(id = 0, 'class', 'function') as kind", "'p.m' as module")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = impact.value_edges(named, symbols)
+        wide = got.where("dst like 'p.m.f%'")
+        assert got.count() - 1 == wide.distinct().count() == 2999 * 2499
+        sizes = [r["count"] for r in wide.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 0.7 * sum(sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
