@@ -27,8 +27,7 @@ documents of the holdout, none of them rejected, suffice.
 
 Every labelled row takes part in choosing and certifying: all rows are measured
 where they are read and only their measures are joined with the labels, so no
-text is shuffled.  Only the proposing of cutoffs is bounded, for good and for
-bad documents of each stratum apart: about ``SAMPLE`` rows by hash of their id.
+text is shuffled.  The percentiles are exact ones of all rows of the fitting part.
 
 Defined cases: null text has no words and fails the base rule; null labels and
 labels of unknown ids take no part, of repeated labels the smallest counts; a
@@ -58,7 +57,6 @@ RISK, ERROR, LIFT = 0.02, 0.05, 5
 CANDIDATES = [1.0, 0.9995, 0.999, 0.998, 0.996, 0.994, 0.992, 0.99]
 FROM_BAD = [0.02, 0.05, 0.1, 0.25]
 NEARLY = 0.97
-SAMPLE = 60_000
 
 
 def measured(docs: DataFrame, *keep: str | Column) -> DataFrame:
@@ -114,19 +112,31 @@ def binomial_cdf(k: str, n: str, rate: float) -> Column:
     return F.expr(f"exp({top}) * {tail}")
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, sample: int = SAMPLE) -> DataFrame:
-    """(stratum, cut array<double>): per stratum each rule's certified cutoff, null where none is; about ``sample`` rows a stratum propose."""
+def proposed(rows: DataFrame, at: list[float]) -> DataFrame:
+    """(lang, rule, cutoff): exact percentiles of all rates, between two neighbours by linear interpolation; ranks come from a sort, so that memory does not grow with the rows."""
+    group = Window.partitionBy("lang", "rule")
+    ranked = rows.select("lang", "rule", "rate", F.row_number().over(group.orderBy("rate")).alias("rank"), F.count("*").over(group).alias("n"))
+    ranked = ranked.withColumn("p", F.explode(F.array(*map(F.lit, at)))).withColumn("share", 1 - F.abs(F.col("rank") - 1 - (F.col("n") - 1) * F.col("p")))
+    between = F.when(F.min("rate") == F.max("rate"), F.min("rate")).otherwise(F.sum(F.col("share") * F.col("rate")))
+    return ranked.where("share > 0").groupBy("lang", "rule", "p").agg(between.alias("cutoff")).select("lang", "rule", "cutoff")
+
+
+def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, sample: int | None = None) -> DataFrame:
+    """(stratum, cut array<double>): per stratum each rule's certified cutoff, null where none is.
+
+    All fitting rows propose; ``sample``, which no query sets, asks about so many a stratum and label only.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     rows = measured(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").where("doc_id is not null"), "doc_id", "lang").where(~base_failed())
     told = cut(rows.select("kept.*", rates().alias("rates")).join(known, "doc_id"))
     told = told.withColumn("fitting", F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(4)) == 0)
     fitting = told.where("fitting").select("doc_id", "lang", "quality", F.posexplode("rates").alias("rule", "rate"))
-    sizes = told.where("fitting").groupBy(F.col("lang").alias("l"), (F.col("quality") == 1).alias("fine")).agg(F.count("*").alias("size"))  # two rows a stratum
-    proposing = fitting.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("l")) & ((F.col("quality") == 1) == F.col("fine")))
-    proposing = proposing.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("propose")), F.lit(1_000_000)) * F.col("size") < F.lit(sample * 1_000_000))
-    points = lambda rows, at: rows.groupBy("lang", "rule").agg(F.percentile("rate", F.array(*map(F.lit, at))).alias("c"))
-    grid = points(proposing.where("quality = 1"), CANDIDATES).unionByName(points(proposing.where("quality != 1"), FROM_BAD))
-    grid = cut(grid.select("lang", "rule", F.explode("c").alias("cutoff")).where("cutoff is not null").distinct())
+    proposing = fitting
+    if sample is not None:
+        sizes = told.where("fitting").groupBy(F.col("lang").alias("l"), (F.col("quality") == 1).alias("fine")).agg(F.count("*").alias("size"))  # two rows a stratum
+        proposing = fitting.join(F.broadcast(sizes), F.col("lang").eqNullSafe(F.col("l")) & ((F.col("quality") == 1) == F.col("fine")))
+        proposing = proposing.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("propose")), F.lit(1_000_000)) * F.col("size") < F.lit(sample * 1_000_000))
+    grid = cut(proposed(proposing.where("quality = 1"), CANDIDATES).unionByName(proposed(proposing.where("quality != 1"), FROM_BAD)).distinct())
     over = F.col("rate") > F.col("cutoff")
     g, f = grid.alias("g"), fitting.alias("f")
     shares = [F.avg(F.when(F.col("quality") == 1, over.cast("int"))).alias("good"), F.avg(F.when(F.col("quality") != 1, over.cast("int"))).alias("bad")]

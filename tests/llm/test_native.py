@@ -159,3 +159,22 @@ def test_applied_mix_has_the_words_taken(spark):
     out = mixing.applied(d)
     assert out.columns == d.columns and abs(sum(len(WORD.findall(r.text)) for r in out.collect()) - taken) <= 16 * 3
     assert out.where("n_chars != length(text)").count() == 0
+
+
+def test_all_fitting_rows_propose_cutoffs(spark):
+    import inspect
+
+    import numpy as np
+
+    default = inspect.signature(quality.cutoffs).parameters["sample"].default
+    assert default is None
+    r = np.random.default_rng(3)
+    told = {("a", 0): r.random(4001), ("a", 1): np.repeat([0.0, 0.25], [300, 77]), (None, 0): np.array([0.5])}
+    table = spark.createDataFrame([(lang, rule, float(x)) for (lang, rule), xs in told.items() for x in xs], "lang string, rule int, rate double")
+    at = quality.CANDIDATES + quality.FROM_BAD
+    got = rows(quality.proposed(table, at))
+    want = sorted(((lang, rule, float(c)) for (lang, rule), xs in told.items() for c in np.percentile(xs, [100 * p for p in at])), key=repr)
+    assert len(got) == len(want)
+    key = lambda x: (repr(x[:2]), x[2])
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-12
