@@ -20,8 +20,8 @@ second round with C(16, 3) = 560 keys of 52 bits, in which three segments are
 left out.  At most 2^12 different fingerprints share such a key, so buckets
 there have a proven bound, and any two fingerprints within 3 bits share one.
 
-Components are found by alternating large-star and small-star steps on the
-links, each written to the shared folder.
+Components of up to ``LOCAL`` links are found in one task, others by alternating
+large-star and small-star steps on the links, each written to the shared folder.
 
 Defined cases: null text is empty; a text without words has fingerprint zero,
 linked like any other; a text of fewer words than a shingle is one shingle;
@@ -49,6 +49,8 @@ SEGMENTS, WIDTH = 16, 4
 BUCKET = 2048
 #: Shingles hashed at a time, which bounds the memory of a very long text.
 CHUNK = 65536
+#: Links that one task settles.
+LOCAL = 100_000
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -208,11 +210,30 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return found.distinct()
 
 
-def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
+def _settled(batches):
+    """Rows (node, root) of all edges (a, b): each node's smallest, by pointers to smaller ones."""
+    a, b = (np.concatenate(x) for x in zip((np.empty(0, np.int64),) * 2, *((y.column(0).to_numpy(), y.column(1).to_numpy()) for y in batches)))
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = np.split(at, 2)
+    root = np.arange(len(nodes))
+    while True:
+        before = root.copy()
+        low = np.minimum(root[a], root[b])
+        for end in (root[a], root[b], a, b):
+            np.minimum.at(root, end, low)
+        while not np.array_equal(root[root], root):
+            root = root[root]
+        if np.array_equal(root, before):
+            break
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+
+def components(edges: DataFrame, rounds: int = 64, local: int = LOCAL) -> DataFrame:
     """(node, root): the smallest node reachable from each node that has an edge (a, b).
 
-    Large-star and small-star steps alternate until nothing changes; no
-    component is gathered in one place.
+    Up to ``local`` distinct edges are settled in one task, which saves the many
+    small shuffles of the rounds.  Beyond it large-star and small-star steps
+    alternate until nothing changes, and no component is gathered in one place.
     """
 
     def star(both: DataFrame, large: bool) -> DataFrame:
@@ -221,6 +242,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         return (joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")) if large else joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))).where("a != b").distinct()
 
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    if now.count() <= local:
+        return cut(now.select(F.col("a").cast("long"), F.col("b").cast("long")).coalesce(1).mapInArrow(_settled, "node long, root long"))
     state = None
     for _ in range(rounds):
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))

@@ -526,3 +526,13 @@ def test_archive_round_trip_and_lookup(spark, tmp_path, monkeypatch):
 def test_reversed_host():
     assert warc.reversed_host("HTTP://M.Example.com:80/a?b#c") == "com,example,m)/a?b"
     assert warc.reversed_host("http://[bad/") == "http://[bad/" and warc.reversed_host(None) == ""
+
+
+def test_components_in_one_task_and_by_rounds_agree(spark):
+    r = random.Random(8)
+    links = [(r.randrange(-300, 300), r.randrange(-300, 300)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    got = simhash.components(edges)
+    assert got.rdd.getNumPartitions() == 1  # one task, no rounds of shuffles
+    assert rows(got) == rows(simhash.components(edges, local=0))
+    assert rows(simhash.components(edges.where("a = b"))) == []
