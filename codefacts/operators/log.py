@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codefacts.functions.scalars import ephemeral, exploration, moment, signature_file
 from codefacts.operators.spans import innermost
+from codefacts.session import cut
 
 
 def newest(index: DataFrame, limit: int | None = None, project: str | None = None, since: Column | None = None) -> DataFrame:
@@ -123,11 +124,16 @@ def node_state(cycle: DataFrame, node: str = "node") -> DataFrame:
     return cycle.groupBy(node).agg(F.min(F.struct(rank.alias("r"), "state"))["state"].alias("state"))
 
 
+def _moved(dirty: DataFrame, commits: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` (file, ts, ...) with ``moved``: not committed yet, the later commit, or null."""
+    d = dirty.select("file").distinct().withColumn("_dirty", F.lit(True))
+    found = rows.join(d, "file", "left").join(commits.select("file", "commit", "commit_ts"), "file", "left")
+    return found.select(*rows.columns, F.when(F.col("_dirty"), "sin-commitear").when(F.col("commit_ts") > F.col("ts"), F.col("commit")).alias("moved"))
+
+
 def moved_after(dirty: DataFrame, commits: DataFrame, captures: DataFrame) -> DataFrame:
     """CH8: per capture (id, file, ts): not committed yet, the later commit, or null."""
-    d = dirty.select("file").distinct().withColumn("_dirty", F.lit(True))
-    rows = captures.join(d, "file", "left").join(commits.select("file", "commit", "commit_ts"), "file", "left")
-    return rows.select("id", "file", F.when(F.col("_dirty"), "sin-commitear").when(F.col("commit_ts") > F.col("ts"), F.col("commit")).alias("moved"))
+    return _moved(dirty, commits, captures).select("id", "file", "moved")
 
 
 def as_of(left: DataFrame, right: DataFrame, keys: list[str], ts: str, values: list[str], order: list[str] = ()) -> DataFrame:
@@ -196,10 +202,17 @@ def crash_anchor(records: DataFrame, symbols: DataFrame, calls: DataFrame, dirty
     own = F.get(F.filter(F.reverse("frames"), lambda f: ~F.coalesce(f["is_library"], F.lit(False)) & f["file"].isNotNull() & f["line"].isNotNull()), F.lit(0))
     base = F.lit(project + "/")
     rows = records.select("id", "ts", own.alias("f")).where(F.col("f.file").startswith(base)).select("id", "ts", F.substring("f.file", len(project) + 2, 100000).alias("path"), F.col("f.line").alias("at"))
-    held = innermost(rows.select("id", "path", "at"), symbols.select("qual", "file", "line", "end"), ["id"]).select("id", F.col("qual").alias("node"))
-    into = calls.select(F.col("src").alias("caller"), F.col("dst").alias("node")).distinct().groupBy("node").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
-    moved = moved_after(dirty, commits, rows.select("id", F.col("path").alias("file"), "ts")).select("id", F.col("moved").alias("changed"))
-    out = rows.join(held, "id", "left").join(into, "node", "left").join(moved, "id", "left").where("node is not null or changed is not null")
+    places = cut(rows.select("path", "at").distinct())
+    held = cut(innermost(places, symbols.select("qual", "file", "line", "end"), ["path", "at"]).select("path", "at", "line", "end", F.col("qual").alias("node")))
+    calls = calls.select(F.col("src").alias("caller"), F.col("dst").alias("node")).join(held.select("node").distinct(), "node", "left_semi")
+    into = calls.distinct().groupBy("node").agg(F.array_sort(F.collect_set("caller")).alias("callers"))
+    found = F.struct(-F.col("line").cast("long"), "end", "node", F.coalesce("callers", F.array().cast("array<string>")).alias("callers"))
+    held = held.join(into, "node", "left").select(F.col("path").alias("_p"), F.col("at").alias("_l"), found.alias("_held"))
+    rows = rows.join(held, (F.col("path") == F.col("_p")) & (F.col("at") == F.col("_l")), "left").drop("_p", "_l")
+    # the records of an id share the innermost symbol that one of them meets
+    first = F.when(F.col("id").isNotNull(), F.min("_held").over(Window.partitionBy("id")))
+    out = _moved(dirty, commits, rows.withColumn("_held", first).withColumnRenamed("path", "file")).withColumnRenamed("file", "path")
+    out = out.withColumn("node", F.col("_held.node")).withColumn("callers", F.col("_held.callers")).withColumnRenamed("moved", "changed").where("node is not null or changed is not null")
     return out.select("id", F.concat_ws(":", "path", F.col("at").cast("string")).alias("site"), "node", F.coalesce("callers", F.array().cast("array<string>")).alias("callers"), "changed")
 
 

@@ -57,6 +57,24 @@ def test_crash_anchor_looks_at_no_symbol_that_does_not_hold_the_crash(spark):
     assert rows(got) == [("a", "m.py:5", "m.f.g", ["m.h"]), ("b", "m.py:7", "m.f", [])]
 
 
+def test_crash_anchor_gives_one_row_a_record_where_ids_recur(spark):
+    symbols = spark.createDataFrame([("m.f", "m.py", 1, 9), ("m.f.g", "m.py", 4, 6)], SPAN)
+    frames = "id string, ts timestamp_ntz, frames array<struct<file:string,line:int,is_library:boolean>>"
+    crashes = spark.createDataFrame([(i, None, [("/p/m.py", at, False)]) for i, at in (("a", 5), ("a", 2), ("a", 90), ("b", 2))], frames)
+    calls = spark.createDataFrame([("m.h", "m.f.g")], "src string, dst string")
+    none = spark.createDataFrame([], "file string")
+    commits = spark.createDataFrame([], "file string, commit string, commit_ts timestamp_ntz")
+    got = log.crash_anchor(crashes, symbols, calls, none, commits, "/p").select("id", "site", "node")
+    assert rows(got) == [("a", "m.py:2", "m.f.g"), ("a", "m.py:5", "m.f.g"), ("a", "m.py:90", "m.f.g"), ("b", "m.py:2", "m.f")]
+
+
+def test_spans_far_from_all_points_are_left_out_before_they_are_cut_up(spark):
+    table = spark.createDataFrame([(f"q{i}", "f", 100 * i, 100 * i + 40) for i in range(200)], SPAN)
+    points = spark.createDataFrame([(1, "f", 310), (2, "f", 341)], POINT)
+    assert rows(spans._near(points, table, "line", "end").select("qual").distinct()) == [("q3",)]
+    assert rows(spans.innermost(points, table, ["k"]).select("k", "qual")) == [(1, "q3")]
+
+
 def test_overlapping_on_odd_spans_looks_at_no_pair_that_does_not_match(spark):
     table, hunks = odd_spans(150, 3), odd_spans(90, 4)
     got = spans.overlapping(spark.createDataFrame(table, SPAN), spark.createDataFrame(hunks, "h string, path string, start int, stop int")).select("qual", "h")
