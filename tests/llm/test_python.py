@@ -459,6 +459,18 @@ def test_scores_equal_a_plain_version_whatever_the_partitions(spark):
     assert sorted((str(x.doc_id), round(x.score, 6)) for x in lm.scored(docs.repartition(7)).collect()) == want
 
 
+def test_speller_is_trained_on_all_distinct_words(spark):
+    ids = [i for i in range(1, 200) if not lm.held_out(i)][:70]
+    texts = [" ".join(f"w{n}" for n in range(100 * k, 100 * k + 100)) for k in range(len(ids))]
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    tokens, speller = lm.spelling(docs.repartition(5))
+    assert tokens == 70 * 101
+    bits = 8 * sum(len(f"w{n} ") for n in range(7000)) + 8
+    assert speller.hits.sum() == 2 * bits  # three passes, the first of them forgotten
+    again = lm.spelling(docs.repartition(3))[1]
+    assert (again.weights == speller.weights).all() and (again.hits == speller.hits).all()
+
+
 def test_order_and_copies_matter_and_held_out_texts_beat_the_base(spark):
     r = random.Random(14)
     vocab = ["".join(r.choice(["an", "re", "th", "on", "el", "mar"]) for _ in range(r.randint(1, 4))) for _ in range(900)]
