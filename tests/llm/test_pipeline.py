@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from codefacts.llm import jaccard, mixing, pieces, queries, secrets
 from tests.llm.test_native import WORD, brute
@@ -133,3 +135,66 @@ def test_large_groups_lose_no_similar_pair(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
     assert {x.doc_id for x in corpus_pipeline.near_copies_stage(spark, docs, "").collect()} == {find(i) for i in range(len(texts))}
     assert 3 < len({find(i) for i in range(len(texts))}) < 75
+
+
+def similar(a, b):
+    both = len(set(a.tolist()) & set(b.tolist()))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def family(r, n, edits):
+    """Copies of one text, each with so many words of its own."""
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    base, out = [word() for _ in range(60)], []
+    for _ in range(n):
+        now = [*base]
+        for at in r.sample(range(len(now)), edits):
+            now[at] = word()
+        out.append(" ".join(now))
+    return out
+
+
+def test_a_family_of_edited_copies_makes_no_pairs_in_the_plan(spark, monkeypatch):
+    """200 copies, half of them unlike all others: no table between the steps grows with their square, and none is lost where a home has several shares."""
+    r = random.Random(8)
+    texts = [t for e in (1, 2) for t in family(random.Random(8), 100, e)]
+    r.shuffle(texts)
+    sets, fps = [jaccard.shingles(t) for t in texts], [plain_fingerprint(t) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and (similar(sets[i], sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 3):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS)
+    made, cut = [], jaccard.cut
+
+    def counted(df):
+        out = cut(df)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "cut", counted)
+    monkeypatch.setattr(jaccard, "HOME", 4_000, raising=False)
+    assert {x.doc_id for x in corpus_pipeline.near_copies_stage(spark, docs, "").collect()} == set(root)
+    assert 3 < len(set(root)) < 190
+    assert max(made) <= 200 * 14
+
+
+def test_links_within_a_home_span_what_all_pairs_join():
+    r = random.Random(9)
+    texts = [t for n in (1, 40, 30) for t in family(r, n, 1)] + ["a b", "a b c d e f"]
+    sets, c = [jaccard.shingles(t) for t in texts], [100 + i // 3 for i in range(len(texts))]
+    for shares in (1, 2):
+        share = [i % shares for i in range(len(texts))]
+        pairs = {(c[i], c[j]) for i in range(len(texts)) for j in range(i) if similar(sets[i], sets[j]) and c[i] != c[j] and (shares == 1 or share[i] != share[j])}
+        got = jaccard._spanning(np.array(c), sets, np.array(share))
+
+        def joined(links):
+            root = {x: x for x in c}
+            for a, b in links:
+                a, b = sorted((root[a], root[b]))
+                root = {k: a if v == b else v for k, v in root.items()}
+            return root
+
+        assert len(got) < len(set(c)) and joined(got) == joined(pairs) and len(set(joined(pairs).values())) < len(set(c))
