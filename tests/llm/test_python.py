@@ -551,7 +551,7 @@ def test_components_in_one_task_and_by_rounds_agree(spark):
 
 
 def test_scored_texts_are_kept_in_little_space(spark, monkeypatch):
-    """What is kept of each text between scoring and its sums takes less than two bytes a token."""
+    """What is kept of each text between scoring and its sums: 7654 bytes here, 30840 as plain columns."""
     r = random.Random(12)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(300)]
     data = [(i, " ".join(r.choice(words) for _ in range(400)), "en", "s") for i in range(100)]
@@ -565,4 +565,4 @@ def test_scored_texts_are_kept_in_little_space(spark, monkeypatch):
     got = lm.scored(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).collect()
     size = lambda v: len(v) if isinstance(v, (bytes, bytearray)) else 4 * len(v) if isinstance(v, list) else 8
     assert len(got) == 100 and sum(x.n_tokens for x in got) == 100 * 401
-    assert sum(size(v) for row in kept[-1].collect() for v in row) < 2 * 100 * 401
+    assert sum(size(v) for row in kept[-1].collect() for v in row) < 15_000
